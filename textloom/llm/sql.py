@@ -1,5 +1,6 @@
 """DuckDB SQL for the queries that SQL can express, by query name."""
 
+from .line_dedup import LONG_WORDS
 from .quality_rules import NOTICES
 
 op1_quality_rules = rf"""
@@ -47,3 +48,29 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * (n_words - words_left) <= 50 * n_words AS kept
 FROM a
 """
+
+op5_line_dedup = rf"""
+WITH l AS (
+  SELECT doc_id, i, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words
+  FROM (SELECT doc_id, i, ls[i] AS line
+        FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i
+              FROM (SELECT DISTINCT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)))
+), w AS (
+  SELECT *, row_number() OVER o AS p, lead(line) OVER o AS l2, lead(line, 2) OVER o AS l3,
+         lead(i) OVER o AS i2, lead(i, 2) OVER o AS i3
+  FROM l WHERE words > 0 WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), r AS (
+  SELECT doc_id, p, [i, i2, i3] AS lines, line || chr(10) || l2 || chr(10) || l3 AS run FROM w WHERE l3 IS NOT NULL
+  UNION ALL
+  SELECT doc_id, p, [i] AS lines, line AS run FROM w WHERE words >= {LONG_WORDS}
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(lines) AS i
+  FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, p) AS k FROM r) WHERE k > 1
+), left_over AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM l ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+), n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_removed,
+       len(regexp_extract_all(coalesce(x.text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS words_left,
+       md5(coalesce(x.text, '')) AS kept_md5
+FROM documents d LEFT JOIN left_over x USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
