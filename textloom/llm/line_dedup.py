@@ -70,14 +70,14 @@ def lost_lines(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """The documents with later repeated runs cut out of ``text``, and how many lines that took (``lines_removed``)."""
     keyed = _keyed(docs)
-    lost = lost_lines(keyed.select(DOC, KEY, "text").where(text_or_empty() != ""))
-    same = keyed[DOC].eqNullSafe(lost[DOC]) & (keyed[KEY] == lost[KEY])
+    lost = lost_lines(keyed.select(DOC, KEY, "text").where(text_or_empty() != "")).toDF("__lost_doc", "__lost_key", "__gone")
+    same = F.expr(f"{DOC} <=> __lost_doc AND {KEY} = __lost_key")
     # The one-element array binds the split lines to a name, else each index would split the text again.
-    left = F.expr("transform(array(split(text, '\\n')), ls -> array_join(transform(array_except(sequence(0, size(ls) - 1), gone), i -> ls[i]), '\\n'))[0]")
+    left = F.expr("transform(array(split(text, '\\n')), ls -> array_join(transform(array_except(sequence(0, size(ls) - 1), __gone), i -> ls[i]), '\\n'))[0]")
     joined = keyed.join(lost, same, "left")
     return joined.select(
-        *(F.when(F.col("gone").isNull(), F.col("text")).otherwise(left).alias("text") if c == "text" else keyed[c] for c in docs.columns),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("lines_removed"),
+        *(F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left).alias("text") if c == "text" else keyed[c] for c in docs.columns),
+        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("lines_removed"),
     )
 
 

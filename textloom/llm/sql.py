@@ -74,3 +74,20 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_removed,
        md5(coalesce(x.text, '')) AS kept_md5
 FROM documents d LEFT JOIN left_over x USING (doc_id) LEFT JOIN n USING (doc_id)
 """
+
+op10_decontamination = rf"""
+WITH t AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark
+), w AS (
+  SELECT kind, id, regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}\x20\x09-\x0D]', '', 'g'), '[^\x20\x09-\x0D]+') AS w FROM t
+), s AS (
+  SELECT DISTINCT kind, id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] AS s
+  FROM (SELECT kind, id, w, unnest(range(1, len(w) - 3)) AS i FROM w)
+), n AS (SELECT id AS item_id, count(*) AS n_item FROM s WHERE kind = 'b' GROUP BY id),
+f AS (
+  SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_found
+  FROM s d JOIN s b ON d.kind = 'd' AND b.kind = 'b' AND d.s = b.s GROUP BY d.id, b.id
+)
+SELECT doc_id, item_id, n_item, n_found, n_found / n_item AS containment
+FROM f JOIN n USING (item_id) WHERE 100 * n_found >= 80 * n_item
+"""
