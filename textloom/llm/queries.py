@@ -10,6 +10,7 @@ from . import sql
 from .decontamination import KEY, find_items
 from .line_dedup import dedup_report
 from .mixing import mix_sources
+from .near_dedup import near_groups
 from .quality_rules import quality_rules
 
 
@@ -33,6 +34,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop(KEY)
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [f for name, f in globals().items() if name.startswith("op") and callable(f)]
     return {f.__name__: f for f in sorted(found, key=lambda f: int(f.__name__[2:].split("_")[0]))}

@@ -91,3 +91,27 @@ f AS (
 SELECT doc_id, item_id, n_item, n_found, n_found / n_item AS containment
 FROM f JOIN n USING (item_id) WHERE 100 * n_found >= 80 * n_item
 """
+
+op8_near_dedup = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)
+  UNION ALL
+  SELECT doc_id, array_to_string(w, ' ') AS s FROM w WHERE len(w) IN (1, 2)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), e AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)
+), r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a AS doc_id, min(b) AS least FROM r GROUP BY a),
+m AS (
+  SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(c.least, w.doc_id)) AS component_id
+  FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+), k AS (SELECT doc_id, string_agg(s, chr(10) ORDER BY s) AS k FROM s GROUP BY doc_id)
+SELECT m.doc_id, n_shingles, component_id, m.doc_id = component_id AS kept,
+       CASE WHEN k IS NULL THEN m.doc_id ELSE min(m.doc_id) OVER (PARTITION BY k) END AS class_id
+FROM m LEFT JOIN k USING (doc_id)
+"""
