@@ -11,6 +11,7 @@ from .decontamination import KEY, find_items
 from .line_dedup import dedup_report
 from .mixing import mix_sources
 from .near_dedup import near_groups
+from .quality_model import classify
 from .quality_rules import quality_rules
 
 
@@ -38,6 +39,10 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [f for name, f in globals().items() if name.startswith("op") and callable(f)]
     return {f.__name__: f for f in sorted(found, key=lambda f: int(f.__name__[2:].split("_")[0]))}
