@@ -115,3 +115,16 @@ SELECT m.doc_id, n_shingles, component_id, m.doc_id = component_id AS kept,
        CASE WHEN k IS NULL THEN m.doc_id ELSE min(m.doc_id) OVER (PARTITION BY k) END AS class_id
 FROM m LEFT JOIN k USING (doc_id)
 """
+
+op3_warc = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages
+), g AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((
+         (instr('0123456789abcdef', hex[(5 * i) // 4 + 1]) - 1) * 16 + instr('0123456789abcdef', hex[(5 * i) // 4 + 2]) - 1
+         >> (3 - (5 * i) % 4)) & 31)::INT, 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM g
+"""
