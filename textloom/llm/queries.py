@@ -13,6 +13,7 @@ from .mixing import mix_sources
 from .near_dedup import near_groups
 from .quality_model import classify
 from .quality_rules import quality_rules
+from .toxicity import toxicity
 from .warc import archived_pages
 
 
@@ -48,6 +49,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived_pages(table(spark, sf_dir, "pages"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [f for name, f in globals().items() if name.startswith("op") and callable(f)]
     return {f.__name__: f for f in sorted(found, key=lambda f: int(f.__name__[2:].split("_")[0]))}
