@@ -14,6 +14,7 @@ from .mixing import mix_sources
 from .near_dedup import near_groups
 from .quality_model import classify
 from .quality_rules import quality_rules
+from .substring_dedup import dedup_report as substring_report
 from .toxicity import toxicity
 from .warc import archived_pages
 
@@ -58,6 +59,10 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [f for name, f in globals().items() if name.startswith("op") and callable(f)]
     return {f.__name__: f for f in sorted(found, key=lambda f: int(f.__name__[2:].split("_")[0]))}
