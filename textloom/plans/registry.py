@@ -1,15 +1,319 @@
-"""All registered queries and their SQL, by name."""
+"""All registered queries and their SQL, by name.
+
+The driver's tables stand in for a web corpus: documents for the corpus, the
+``k`` of view and click events for articles and links, part names for a query
+log, labels for judgements.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import analysis, codec
+from ..operators import autocomplete, evaluate, feedback, graph, index, logs, rank, retrieve, stats
+from .query import query_tables
+
+#: The batch of searches that all retrieval queries answer.
+QUERIES = [
+    (1, "thble"),
+    (2, "thing ering"),
+    (3, "eriner thble thing"),
+    (4, '"anea eriner"'),
+    (5, '"anea eriner" thble'),
+    (6, "the thing of ering"),
+    (7, "thing thing thble"),
+    (8, "the of and"),
+    (9, "nosuchterm thing"),
+    (10, 'ering "the thing'),
+]
+TITLE_QUERIES = [(1, "the"), (2, "of thing"), (3, "nosuchterm")]
+BIGRAMS = [(1, "anea", "eriner"), (2, "of", "the"), (2, "the", "thing"), (3, "thble", None)]
+SUGGEST = "red"
+FIXED_HTML = [
+    ("A", '<a href="B" title="x">B</a>\n<a href="C">C</a> and <a href="D">D</a>\n<a href="http://x.y/z">out</a>'),
+    ("B", '<a href="C">C</a>\n<a href="D">D</a>\n<a href="#top">top</a>'),
+    ("C", '<a href="A">A</a>'),
+    ("D", '<a href="A">A</a>\n<a href="C">C</a>'),
+    ("R1", '<meta http-equiv="refresh" content="0;url=R2">'),
+    ("R2", '<meta http-equiv="refresh" content="0;url=A">'),
+    ("X1", '<meta http-equiv="refresh" content="0;url=X2">'),
+    ("X2", '<meta http-equiv="refresh" content="0;url=X1">'),
+    ("E", '<a href="R1">R1</a>\n<a href="A">A</a>\n<a href="A">A</a>\n<a href="E">E</a>\n<a href="X1">X1</a>'),
+]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def built(spark: SparkSession, sf_dir: str) -> index.Index:
+    return index.Index.build(documents(spark, sf_dir))
+
+
+def asked(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    return query_tables(spark, QUERIES)
+
+
+def events_of(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").where(F.col("event_type") == kind)
+    return rows.select("event_id", "ts", "user_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+def click_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and links of the click stream: from each click of a user to the next."""
+    clicks = events_of(spark, sf_dir, "click")
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    edges = clicks.select(F.col("k").alias("src"), F.lead("k").over(order).alias("dst")).where("dst IS NOT NULL")
+    return clicks.select(F.col("k").alias("node")).distinct(), edges
+
+
+def article_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = events_of(spark, sf_dir, "view").select(F.col("k").cast("string").alias("article"), F.lit("1").alias("views"))
+    corpus = documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("url"))
+    return logs.view_counts(log, corpus)
+
+
+def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, page_rank, views`` of the documents."""
+    ranks = graph.pagerank(*click_graph(spark, sf_dir)).select(F.col("node").alias("doc_id"), "page_rank")
+    return article_views(spark, sf_dir).select(F.col("url").cast("long").alias("doc_id"), "views").join(ranks, "doc_id", "left").select("doc_id", F.coalesce("page_rank", F.lit(0.0)).alias("page_rank"), "views")
+
+
+def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+# Index
+
+def corpus_stats(spark, d):
+    ix = built(spark, d)
+    return index.corpus_totals(ix.documents, ix.terms)
+
+
+def term_stats(spark, d):
+    return built(spark, d).terms
+
+
+def postings_positional(spark, d):
+    return index.positional_postings(analysis.tokens(documents(spark, d))).select("term", "doc_id", F.col("tf").cast("long").alias("tf"), F.array_join("positions", ",").alias("positions"))
+
+
+def postings_doconly(spark, d):
+    return index.document_postings(analysis.tokens(documents(spark, d)))
+
+
+def forward_topk(spark, d):
+    return index.forward_index(built(spark, d).tf, 5).withColumn("rank", F.col("rank").cast("long"))
+
+
+def forward_no_stopwords(spark, d):
+    ix = built(spark, d)
+    return index.without_stop_words(ix.tf, ix.stops).select("doc_id", "term", "tf")
+
+
+def stopwords_topn(spark, d):
+    return built(spark, d).stops
+
+
+def doc_norms(spark, d):
+    return rounded(built(spark, d).stats, "norm2", digits=4)
+
+
+def postings_delta_vbyte_size(spark, d):
+    return codec.encoded_sizes(index.positional_postings(analysis.tokens(documents(spark, d))))
+
+
+# Matching and ranking
+
+def match_and(spark, d):
+    return retrieve.match_all(built(spark, d), *asked(spark))
+
+
+def match_or(spark, d):
+    return retrieve.match_any(built(spark, d), asked(spark)[0])
+
+
+def match_phrase(spark, d):
+    return retrieve.phrase_matches(built(spark, d).toks, asked(spark)[1])
+
+
+def match_phrase_doconly(spark, d):
+    return retrieve.phrase_terms_matches(built(spark, d).tf, asked(spark)[1]).drop("starts")
+
+
+def fullscan_title(spark, d):
+    titles = documents(spark, d).select("doc_id", F.substring_index("text", "\n", 1).alias("title"))
+    return rank.title_match(titles, query_tables(spark, TITLE_QUERIES)[0])
+
+
+def _ranked(name: str, digits: int = 6) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark, d):
+        more = {"signals": signals(spark, d)} if name in rank.WITH_SIGNALS else {}
+        ix, (terms, phrases) = built(spark, d), asked(spark)
+        scored = rank.ranker(name)(ix, terms, retrieve.match_all(ix, terms, phrases), **more)
+        return rank.top_k(rounded(scored, "score", digits=digits)).withColumn("rank", F.col("rank").cast("long"))
+
+    return run
+
+
+def rank_bigram(spark, d):
+    bigrams = spark.createDataFrame(BIGRAMS, "query_id int, first string, second string")
+    return rank.top_k(rank.bigram_rank(built(spark, d), bigrams)).withColumn("rank", F.col("rank").cast("long"))
+
+
+# Feedback
+
+def prf_terms(spark, d):
+    ix, (terms, phrases) = built(spark, d), asked(spark)
+    found = rank.top_k(rounded(rank.cosine(ix, terms, retrieve.match_all(ix, terms, phrases)), "score"))
+    return rounded(feedback.expansion_terms(ix, found), "prob")
+
+
+def prf_search(spark, d):
+    return rounded(feedback.expanded_search(spark, built(spark, d), QUERIES[:3]), "score").withColumn("rank", F.col("rank").cast("long"))
+
+
+def query_bhattacharyya(spark, d):
+    return rounded(feedback.bhattacharyya(prf_terms(spark, d)), "similarity", digits=4)
+
+
+# Graph and logs
+
+def fixed_pages(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(FIXED_HTML, "url string, html string")
+
+
+def links_extracted(spark, d):
+    pages = table(spark, d, "pages").select(F.col("page_id").cast("string").alias("url"), "html")
+    found = graph.links(pages, graph.ANY_LINK).unionByName(graph.links(fixed_pages(spark)))
+    return found.groupBy("url", "target").agg(F.count("*").alias("n"))
+
+
+def redirect_closure(spark, d):
+    return graph.close_redirects(graph.redirects(fixed_pages(spark)))
+
+
+def pagerank_pages(spark, d):
+    return rounded(graph.pagerank(*graph.build_graph(fixed_pages(spark))), "page_rank", digits=9)
+
+
+def pagerank_2iter(spark, d):
+    return rounded(graph.pagerank(*click_graph(spark, d)), "page_rank", digits=9)
+
+
+def num_views(spark, d):
+    return article_views(spark, d)
+
+
+def click_counts(spark, d):
+    clicks = events_of(spark, d, "click").select(F.col("user_id").cast("string").alias("session"), F.col("k").alias("doc_id"))
+    return logs.click_counts(clicks)
+
+
+# Statistics
+
+def _ranks(spark, d) -> DataFrame:
+    return graph.pagerank(*click_graph(spark, d)).select(F.col("node").alias("key"), F.round("page_rank", 9).alias("value"))
+
+
+def _views(spark, d) -> DataFrame:
+    return article_views(spark, d).select(F.col("url").cast("long").alias("key"), F.col("views").alias("value"))
+
+
+def rank_avg_ties(spark, d):
+    return stats.rank_with_ties(_views(spark, d))
+
+
+def rank_tiebreak(spark, d):
+    return stats.rank_without_ties(_views(spark, d)).withColumn("rank", F.col("rank").cast("long"))
+
+
+def spearman(spark, d):
+    return rounded(stats.spearman(_ranks(spark, d), _views(spark, d)), "rho")
+
+
+def pagerank_histogram(spark, d):
+    return rounded(stats.pagerank_histogram(_ranks(spark, d)), "percent")
+
+
+def numviews_histogram(spark, d):
+    return rounded(stats.views_histogram(_views(spark, d)), "percent")
+
+
+# Autocomplete
+
+def _log(spark, d) -> DataFrame:
+    return table(spark, d, "part").select(analysis.clean_log_query("p_name").alias("query"), F.lit(1).cast("long").alias("cnt"))
+
+
+def query_log_consolidated(spark, d):
+    return autocomplete.consolidate(_log(spark, d))
+
+
+def autocomplete_topk(spark, d):
+    return autocomplete.suggest(autocomplete.consolidate(_log(spark, d)), SUGGEST).withColumn("rank", F.col("rank").cast("long"))
+
+
+# Evaluation
+
+def _judged(spark, d) -> tuple[DataFrame, DataFrame]:
+    grade = F.when(F.col("quality") != 1, "Bad").when(F.col("toxic") == 1, "Fair").otherwise("Good")
+    qrels = table(spark, d, "labels").select("doc_id", grade.alias("grade"))
+    ids = spark.createDataFrame(QUERIES, "query int, text string").select("query")
+    judged = evaluate.judgements(qrels.crossJoin(F.broadcast(ids)).select("query", "doc_id", "grade", F.lit(0).alias("line")))  # the fixed batch of queries
+    ix, (terms, phrases) = built(spark, d), asked(spark)
+    run = rank.top_k(rounded(rank.cosine(ix, terms, retrieve.match_all(ix, terms, phrases)), "score")).select(F.col("query_id").alias("query"), "rank", "doc_id")
+    return run, judged
+
+
+def _evaluated(figures: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark, d):
+        out = figures(evaluate.judged_run(*_judged(spark, d)))
+        return rounded(out, *(c for c in out.columns if c != "query"))
+
+    return run
+
+
+def eval_map(spark, d):
+    out = evaluate.summary(*_judged(spark, d))
+    return rounded(out, *(c for c in out.columns if c != "queries"))
+
+
+def analyze_full(spark, d):
+    """Terms of the full analyzer; no SQL has its stemmer."""
+    toks = analysis.full_tokens(documents(spark, d))
+    return index.term_statistics(index.frequencies(toks))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    plain = (
+        corpus_stats, term_stats, postings_positional, postings_doconly, forward_topk, forward_no_stopwords, stopwords_topn, doc_norms, postings_delta_vbyte_size,
+        match_and, match_or, match_phrase, match_phrase_doconly, fullscan_title, rank_bigram, prf_terms, prf_search, query_bhattacharyya,
+        links_extracted, redirect_closure, pagerank_pages, pagerank_2iter, num_views, click_counts,
+        rank_avg_ties, rank_tiebreak, spearman, pagerank_histogram, numviews_histogram, query_log_consolidated, autocomplete_topk, eval_map, analyze_full,
+    )
+    found = {f.__name__: f for f in plain}
+    found |= {f"rank_{name}": _ranked(name) for name in ("cosine", "ql", "linear", "comprehensive", "conjunctive", "numviews")}
+    found |= {
+        "eval_precision": _evaluated(evaluate.precision_at),
+        "eval_recall": _evaluated(evaluate.recall_at),
+        "eval_f": _evaluated(evaluate.f_at),
+        "eval_interp11": _evaluated(evaluate.interpolated_precision),
+        "eval_ap": _evaluated(evaluate.average_precision),
+        "eval_ndcg": _evaluated(evaluate.ndcg_at),
+        "eval_rr": _evaluated(evaluate.reciprocal_rank),
+    }
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import oracle
+
+    return oracle.statements()
