@@ -13,9 +13,10 @@ document holds a value below the next rank.
 Bands of the signature are buckets.  A bucket is not expanded to pairs: its
 members are compared with one centre, the member whose buckets are largest in
 total, and links are confirmed on the full sets.  Union-find over the links
-gives components.  Where a bucket still holds more than one component, the
-members of different components are compared too, so nothing that a bucket
-suggests is left open.
+gives components.  Where a bucket still holds more than one component, its
+members of different components are compared too, unless their differences
+from a common core rule a link out, so nothing that a bucket suggests is left
+open.
 
 Defined results: null, empty and wordless texts have an empty set, are linked
 with nothing and stand alone; rows with equal doc_id and text are one document
@@ -39,6 +40,8 @@ SHINGLE = 3
 PERCENT = 85
 SLOTS = 64
 BANDS = 16
+#: Members of a centre whose majority makes its core.
+CORE_MEMBERS = 15
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -169,6 +172,74 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def _cores(samples: DataFrame) -> DataFrame:
+    """``a, core``: the shingles that most of a centre's sampled members have; ``samples``: ``a, texts``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cores = []
+            for texts in batch.column("texts"):
+                sets = [shingle_sets(*x[2:])[0] for x in K.slices(texts.values, 1)]
+                found, times = np.unique(np.concatenate(sets), return_counts=True)
+                cores.append(found[2 * times > len(sets)].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), pa.array(cores, pa.list_(pa.int64()))], names=["a", "core"])
+
+    return samples.mapInArrow(run, "a long, core array<long>")
+
+
+def _differences(members: DataFrame) -> DataFrame:
+    """``a, node, label, core, missing, extra``: how a member's set differs from its centre's core."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cores, missing, extra = batch.column("core"), [], []
+            for i, j, data, bounds in K.slices(batch.column("text")):
+                sets, counts = shingle_sets(data, bounds)
+                ends = np.concatenate([[0], np.cumsum(counts)])
+                for k in range(i, j):
+                    own, core = sets[ends[k - i] : ends[k - i + 1]], np.sort(cores[k].values.to_numpy().view(np.uint64))
+                    both = K.in_sorted(own, core)
+                    missing.append(len(core) - int(both.sum()))
+                    extra.append(own[~both].view(np.int64))
+            sizes = pa.array([len(x) for x in cores], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "node", "label")), sizes, pa.array(missing, pa.int64()), pa.array(extra, pa.list_(pa.int64()))], names=["a", "node", "label", "core", "missing", "extra"])
+
+    return members.select("a", "node", "label", "core", "text").mapInArrow(run, "a long, node long, label long, core long, missing long, extra array<long>")
+
+
+def open_pairs(shared: DataFrame, centers: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+    """``a, b`` (a < b): all pairs of different components that share a bucket and may be similar enough.
+
+    Pairs are not formed within buckets, where a large group of copies would give
+    its square.  The members of a centre are described by what they lack of a core
+    and what they have besides.  If two members have nothing besides in common,
+    their intersection is at most the core less what either lacks, so two numbers
+    each decide whether they can be similar; few combinations of numbers occur, and
+    only combinations that pass give pairs.  All other pairs share a shingle
+    outside the core and meet there.  Any core is right; a good one, from the
+    majority of a few members, leaves few pairs.
+    """
+    named = shared.join(labels, "node", "left").select("band", "h", "node", F.coalesce("label", "node").alias("label"))
+    split = named.groupBy("band", "h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("band", "h")
+    members = stored(named.join(split, ["band", "h"]).join(centers.select("band", "h", "a"), ["band", "h"]).select("a", "node", "label").distinct(), "near-open")
+    few = members.selectExpr("a", "node", "row_number() OVER (PARTITION BY a ORDER BY xxhash64(node), node) AS r").where(f"r <= {CORE_MEMBERS}")
+    cores = stored(_cores(few.join(texts, "node").groupBy("a").agg(F.collect_list("text").alias("texts"))), "near-cores")
+    described = stored(_differences(members.join(texts, "node").join(cores, "a")), "near-differences")
+
+    outside = described.select("a", "node", "label", F.explode("extra").alias("s"))
+    met = outside.groupBy("a", "s").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("a", "s")
+    left = outside.join(met, ["a", "s"])
+    by_shingle = left.toDF("c", "s", "a", "label_a").join(left.toDF("c", "s", "b", "label_b"), ["c", "s"]).where("a < b AND label_a != label_b").select("a", "b")
+
+    kinds = described.select("a", "core", "missing", F.size("extra").cast("long").alias("extra"), "node", "label")
+    kind = kinds.groupBy("a", "core", "missing", "extra").agg(F.min("label").alias("x"), F.max("label").alias("y"))
+    one, two = kind.toDF("c", "core", "m1", "e1", "x1", "y1"), kind.toDF("c", "core", "m2", "e2", "x2", "y2")
+    may = one.join(two, ["c", "core"]).where(f"least(x1, x2) != greatest(y1, y2) AND {100 + PERCENT} * (core - greatest(m1, m2)) >= {PERCENT} * (2 * core - m1 - m2 + e1 + e2)").select("c", "m1", "e1", "m2", "e2")
+    sides = [kinds.select(F.col("a").alias("c"), F.col("missing").alias(f"m{k}"), F.col("extra").alias(f"e{k}"), F.col("node").alias(n), F.col("label").alias(f"label_{n}")) for k, n in ((1, "a"), (2, "b"))]
+    by_numbers = may.join(sides[0], ["c", "m1", "e1"]).join(sides[1], ["c", "m2", "e2"]).where("a < b AND label_a != label_b").select("a", "b")
+    return by_shingle.union(by_numbers).distinct()
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept, class_id`` (the smallest doc_id with the same set)."""
     sigs = stored(signatures(docs), "near-signatures")
@@ -188,13 +259,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     links = stored(confirmed(stars, texts), "near-links")
     labels = components(links)
 
-    # What is left: members of one bucket that the stars have not brought together.
-    named = shared.join(labels, "node", "left").select("band", "h", "node", "n_shingles", F.coalesce("label", "node").alias("label"))
-    split = named.groupBy("band", "h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("band", "h")
-    still = stored(named.join(split, ["band", "h"]), "near-open")
-    left, right = still.toDF("band", "h", "a", "n_a", "label_a"), still.toDF("band", "h", "b", "n_b", "label_b")
-    across = left.join(right, ["band", "h"]).where("a < b AND label_a != label_b").where(similar_size).select("a", "b").distinct()
-    more = stored(confirmed(across.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), texts), "near-more")
+    more = stored(confirmed(open_pairs(shared, centers, labels, texts).join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), texts), "near-more")
     if not more.isEmpty():
         labels = components(links.union(more))
 
