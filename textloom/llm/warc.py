@@ -110,14 +110,26 @@ def read_records(stream: io.BufferedReader) -> Iterator[tuple[dict[str, str], by
         yield headers, block
 
 
+def _packed(rows: DataFrame) -> DataFrame:
+    """The pages with their payloads compressed, for the way to their archives."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            packed = [packer.compress(x) for x in batch.column("html").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "digest")), pa.array(packed, pa.binary())], names=["page_id", "url", "digest", "packed"])
+
+    return rows.select("page_id", "url", "digest", "html").mapInArrow(run, "page_id long, url string, digest string, packed binary")
+
+
 def write_archives(pages: DataFrame, path: str) -> DataFrame:
     """Writes the archives below ``path``; returns ``path, records`` of each, stored."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha1("html"))
     size = rows.agg(F.sum(F.octet_length("html"))).first()[0] or 0
     firsts = rows.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     shared = rows.select("page_id", "digest").distinct().join(firsts, "digest").select(F.col("page_id").alias("of"), F.col("digest").alias("same"), "first", F.lit(True).alias("copied"))
-    dealt = rows.repartition(max(1, -(-size // (ARCHIVE_BYTES // 8))), "page_id", "digest")
-    marked = dealt.join(shared, F.expr("page_id <=> of AND digest = same"), "left").select("page_id", "url", "html", "digest", "first", "copied")
+    dealt = _packed(rows).repartition(max(1, -(-size // (ARCHIVE_BYTES // 8))), "page_id", "digest")
+    marked = dealt.join(shared, F.expr("page_id <=> of AND digest = same"), "left").select("page_id", "url", "packed", "digest", "first", "copied")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = pyarrow.fs.FileSystem.from_uri(path)
@@ -127,10 +139,10 @@ def write_archives(pages: DataFrame, path: str) -> DataFrame:
         def all_records() -> Iterator[bytes]:
             nonlocal last
             for batch in batches:
-                for page_id, url, html, digest, first, copied in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "first", "copied"))):
+                for page_id, url, packed, digest, first, copied in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "packed", "digest", "first", "copied"))):
                     revisit = bool(copied) and (page_id != first or (page_id, digest) == last)
                     last = (page_id, digest)
-                    yield record(page_id, url, html.encode(), base64.b32encode(bytes.fromhex(digest)).decode(), first, revisit)
+                    yield record(page_id, url, zstandard.decompress(packed), base64.b32encode(bytes.fromhex(digest)).decode(), first, revisit)
 
         rest, names, counts = all_records(), [], []
         while (head := next(rest, None)) is not None:
