@@ -33,7 +33,7 @@ SHARD_SLOTS = 1024
 ROUNDS = 12
 MAX_PASSES = 3
 #: Rows of a source that one task sorts, on average.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 1_000
 M31 = 2147483647
 
 
