@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import defaultdict
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,9 +20,33 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/textloom-shared"
 
 
+#: Paths in the shared folder by who asked for them; None: for the caller to keep.
+_paths: dict[str | None, list[str]] = defaultdict(list)
+_owner: list[str | None] = [None]
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/textloom/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/textloom/{name}-{uuid.uuid4().hex}"
+    _paths[_owner[-1]].append(path)
+    return path
+
+
+@contextmanager
+def owner(name: str) -> Iterator[None]:
+    """Marks what is written meanwhile, so that ``remove`` finds it."""
+    _owner.append(name)
+    try:
+        yield
+    finally:
+        _owner.pop()
+
+
+def remove(spark: SparkSession, name: str) -> None:
+    """Deletes the tables that were written for an owner; nothing may still read them."""
+    for path in _paths.pop(name, []):
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
