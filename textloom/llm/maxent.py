@@ -59,7 +59,8 @@ ROWS = 1 << BITS
 FEATURES, WORD_FEATURES = 4, 2
 ROUNDS = 3
 RATE = 0.1
-BATCH = 4096
+#: Tokens of a gradient step, and of a scoring batch.
+STEP, BATCH = 32_768, 4096
 #: Words that a task counts before it passes partial counts on.
 COUNT_WORDS = 4_000_000
 #: Blocks of weights that are summed apart.
@@ -246,7 +247,7 @@ def train(docs: DataFrame, counts: Counts) -> tuple[np.ndarray, np.ndarray]:
     context = docs.sparkSession.sparkContext
     shared = context.broadcast(counts)
     weights = blank()
-    step = ROWS // BLOCKS
+    width = ROWS // BLOCKS
     rows = docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)).alias("round"))
 
     for r in range(ROUNDS):
@@ -264,8 +265,8 @@ def train(docs: DataFrame, counts: Counts) -> tuple[np.ndarray, np.ndarray]:
                     rank, classes = known.class_of(h)
                     features = feature_rows(h, starts)
                     seen += len(h)
-                    for a in range(0, len(h), BATCH):
-                        part = slice(a, a + BATCH)
+                    for a in range(0, len(h), STEP):
+                        part = slice(a, a + STEP)
                         own = [f[part] for f in features]
                         descend(w, w2, own, known.bias, classes[part])
                         top = np.flatnonzero((rank[part] >= 0) & (rank[part] < TOP))
@@ -275,7 +276,7 @@ def train(docs: DataFrame, counts: Counts) -> tuple[np.ndarray, np.ndarray]:
             if not seen:
                 return
             change = [((new - old) * seen).astype(np.float32) for new, old in zip((w, v), current.value)]
-            packed = [zstandard.compress(b"".join(x[k * step : (k + 1) * step].tobytes() for x in change), 1) for k in range(BLOCKS)]
+            packed = [zstandard.compress(b"".join(x[k * width : (k + 1) * width].tobytes() for x in change), 1) for k in range(BLOCKS)]
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(BLOCKS)), pa.array(np.full(BLOCKS, seen)), pa.array(packed, pa.binary())], names=["block", "seen", "change"])
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,9 +296,9 @@ def train(docs: DataFrame, counts: Counts) -> tuple[np.ndarray, np.ndarray]:
         means = changes.repartition(BLOCKS, "block").mapInArrow(add, "block long, mean binary").collect()
         weights = tuple(x.copy() for x in weights)
         for block, mean in means:
-            x, at = np.frombuffer(mean, np.float32), slice(block * step, (block + 1) * step)
-            weights[0][at] += x[: step * CLASSES].reshape(step, CLASSES)
-            weights[1][at] += x[step * CLASSES :].reshape(step, TOP_EACH)
+            x, at = np.frombuffer(mean, np.float32), slice(block * width, (block + 1) * width)
+            weights[0][at] += x[: width * CLASSES].reshape(width, CLASSES)
+            weights[1][at] += x[width * CLASSES :].reshape(width, TOP_EACH)
     return weights
 
 
