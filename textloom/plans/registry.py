@@ -8,6 +8,7 @@ log, labels for judgements.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -53,7 +54,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+@lru_cache(maxsize=4)
 def built(spark: SparkSession, sf_dir: str) -> index.Index:
+    """The index of a corpus, built by the first query that needs it and kept in Spark's cache."""
     return index.Index.build(documents(spark, sf_dir))
 
 
