@@ -44,7 +44,7 @@ from .common import scratch, stored
 WORDS = 13
 CELLS_PER_WINDOW = 16
 BLOCK_BITS = 22
-CHUNK_WINDOWS = 4_000_000
+CHUNK_WINDOWS = 1_000_000
 #: The part of a row id that numbers rows within a chunk.
 ROW_BITS = 33
 
@@ -185,7 +185,7 @@ class Suspects:
         self.tables = []
         for own in cells:
             both = np.concatenate(own) if own else np.zeros(0, np.uint64)
-            shift = np.uint64(64 - min(27, max(16, (32 * len(both)).bit_length())))
+            shift = np.uint64(64 - min(25, max(16, (16 * len(both)).bit_length())))
             table = np.zeros(1 << int(64 - shift), bool)
             table[(K.mix(both) >> shift).astype(np.int64)] = True
             self.tables.append((shift, table))
