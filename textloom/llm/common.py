@@ -49,11 +49,17 @@ def remove(spark: SparkSession, name: str) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The table, written to the shared folder and read back: cuts lineage and outlives executors."""
-    path = scratch(df.sparkSession, name)
+def stored(df: DataFrame, name: str, small: bool = False) -> DataFrame:
+    """The table, written to the shared folder and read back: cuts lineage and outlives executors.
+
+    ``small``: an eighth of the shuffle partitions is enough for its rows.
+    """
+    spark = df.sparkSession
+    if small:
+        df = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+    path = scratch(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_or_empty(text: str | Column = "text") -> Column:

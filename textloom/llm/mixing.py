@@ -125,7 +125,7 @@ def mix_sources(docs: DataFrame) -> DataFrame:
     slots = -(-total // words)
     width = M31 // max(1, rows // BUCKET_ROWS) + 1
 
-    sources = stored(source_targets(sizes), "mix-sources")
+    sources = stored(source_targets(sizes), "mix-sources", small=True)
     named = sizes.join(sources.select("source", "sidx", "source_size", "target"), sizes.source.eqNullSafe(sources.source)).drop(sources.source).selectExpr("*", f"b DIV {width} AS bucket")
     before = named.groupBy("sidx", "bucket").agg(F.sum("size").alias("in_bucket")).selectExpr("sidx", "bucket", "sum(in_bucket) OVER (PARTITION BY sidx ORDER BY bucket) - in_bucket AS before")
     placed = named.where("size > 0").selectExpr("*", "sum(size) OVER (PARTITION BY sidx, bucket ORDER BY b, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS inside").join(before, ["sidx", "bucket"]).selectExpr("*", "before + inside AS start")

@@ -158,14 +158,14 @@ def components(edges: DataFrame) -> DataFrame:
     smallest node it knows, until nothing changes; rounds grow with the logarithm of
     the longest path.
     """
-    edges, before = stored(_forest(edges).distinct(), "near-edges"), None
+    edges, before = stored(_forest(edges).distinct(), "near-edges", small=True), None
     while True:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         larger = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a != b").distinct()
         least = larger.groupBy("b").agg(F.min("a").alias("m"))
         smaller = larger.join(least, "b")
-        edges = stored(smaller.select(F.col("m").alias("a"), F.col("a").alias("b")).union(smaller.select(F.col("m").alias("a"), "b")).where("a != b").distinct(), "near-edges")
+        edges = stored(smaller.select(F.col("m").alias("a"), F.col("a").alias("b")).union(smaller.select(F.col("m").alias("a"), "b")).where("a != b").distinct(), "near-edges", small=True)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("label"))
@@ -221,10 +221,10 @@ def open_pairs(shared: DataFrame, centers: DataFrame, labels: DataFrame, texts:
     """
     named = shared.join(labels, "node", "left").select("band", "h", "node", F.coalesce("label", "node").alias("label"))
     split = named.groupBy("band", "h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("band", "h")
-    members = stored(named.join(split, ["band", "h"]).join(centers.select("band", "h", "a"), ["band", "h"]).select("a", "node", "label").distinct(), "near-open")
+    members = stored(named.join(split, ["band", "h"]).join(centers.select("band", "h", "a"), ["band", "h"]).select("a", "node", "label").distinct(), "near-open", small=True)
     few = members.selectExpr("a", "node", "row_number() OVER (PARTITION BY a ORDER BY xxhash64(node), node) AS r").where(f"r <= {CORE_MEMBERS}")
-    cores = stored(_cores(few.join(texts, "node").groupBy("a").agg(F.collect_list("text").alias("texts"))), "near-cores")
-    described = stored(_differences(members.join(texts, "node").join(cores, "a")), "near-differences")
+    cores = stored(_cores(few.join(texts, "node").groupBy("a").agg(F.collect_list("text").alias("texts"))), "near-cores", small=True)
+    described = stored(_differences(members.join(texts, "node").join(cores, "a")), "near-differences", small=True)
 
     outside = described.select("a", "node", "label", F.explode("extra").alias("s"))
     met = outside.groupBy("a", "s").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("a", "s")
