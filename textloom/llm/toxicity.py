@@ -6,8 +6,8 @@ toxic and hardly in others, counted by a distributed aggregation over at most
 classifier is fitted on), at most ``MAX_TERMS`` of them.
 
 Matching: the lexicon is a trie, and the Levenshtein automaton of its terms
-(one edit from five letters on, two from nine; the first letter must agree) is
-intersected with it.  Determinising the intersection gives one table of
+(one edit from five letters on, two from nine; an exchange of neighbours is one
+edit; the first letter must agree) is intersected with it.  Determinising the intersection gives one table of
 states; all words of a slice of text run through it side by side, one byte a
 step, and most drop out after two or three.
 
@@ -43,7 +43,7 @@ from . import kernel as K
 TRAIN_DOCS = 16_384
 MAX_TERMS = 300
 THRESHOLD = 0.3
-#: A term is in at least this share of the toxic documents, and in SURE_DOCS of them or, repeatedly, in three.
+#: A term is in at least this share of the toxic documents, and in SURE_DOCS of them or, three times each, in two.
 MIN_PERCENT = 2
 SURE_DOCS = 8
 MOST_TIMES = 4
@@ -121,12 +121,16 @@ def intersect(terms: list[str]) -> Automaton:
     classes = np.zeros(256, np.int16)
     classes[used] = np.arange(1, len(used) + 1)
 
-    def closed(states: dict[int, int]) -> frozenset:
-        """With the nodes reached by leaving letters out; negative nodes are finished open-ended terms."""
+    def closed(states: dict) -> frozenset:
+        """With the nodes reached by leaving letters out.
+
+        Negative nodes are finished open-ended terms; a pair is a node that waits for
+        the second letter of an exchange.
+        """
         todo = list(states.items())
         while todo:
             node, e = todo.pop()
-            if states.get(node, 99) < e or node < 0:
+            if states.get(node, 99) < e or isinstance(node, tuple) or node < 0:
                 continue
             end = ends[node]
             if end is not None and end[2] and e <= end[1] and states.get(-1 - end[0], 99) > e:
@@ -140,13 +144,17 @@ def intersect(terms: list[str]) -> Automaton:
         return frozenset(states.items())
 
     def step(states: frozenset, byte: int | None) -> frozenset:
-        out: dict[int, int] = {}
+        out: dict = {}
 
-        def put(node: int, e: int) -> None:
+        def put(node: int | tuple[int, int], e: int) -> None:
             if out.get(node, 99) > e:
                 out[node] = e
 
         for node, e in states:
+            if isinstance(node, tuple):
+                if node[1] == byte:
+                    put(node[0], e)
+                continue
             if node < 0:
                 put(node, e)
                 continue
@@ -154,14 +162,18 @@ def intersect(terms: list[str]) -> Automaton:
                 put(children[node][byte], e)
             if node and e < most[node]:
                 put(node, e + 1)
-                for child in children[node].values():
+                for letter, child in children[node].items():
                     if e < most[child]:
                         put(child, e + 1)
+                    after = children[child].get(byte)
+                    if after is not None and e < most[after]:
+                        put((after, letter), e + 1)
         return closed(out)
 
     def best(states: frozenset) -> tuple[int, int]:
-        found = [(e, -1 - node) for node, e in states if node < 0]
-        found += [(e, ends[node][0]) for node, e in states if node >= 0 and ends[node] is not None and e <= ends[node][1]]
+        nodes = [(node, e) for node, e in states if not isinstance(node, tuple)]
+        found = [(e, -1 - node) for node, e in nodes if node < 0]
+        found += [(e, ends[node][0]) for node, e in nodes if node >= 0 and ends[node] is not None and e <= ends[node][1]]
         return min(found, default=(-1, -1))
 
     start = closed({0: 0})
@@ -256,7 +268,7 @@ def learn_terms(train: DataFrame) -> list[str]:
 
     sums = train.mapInArrow(run, "term string, clean long, toxic long, times long").groupBy("term").agg(*(F.sum(c).alias(c) for c in ("clean", "toxic", "times")))
     toxic_docs = train.where("toxic = 1").count()
-    telling = f"toxic >= 4 * clean AND 100 * toxic >= {MIN_PERCENT} * {toxic_docs} AND (toxic >= {SURE_DOCS} OR toxic >= 3 AND 2 * times >= 5 * toxic)"
+    telling = f"toxic >= 50 * clean AND 100 * toxic >= {MIN_PERCENT} * {toxic_docs} AND (toxic >= {SURE_DOCS} OR toxic >= 2 AND times >= 3 * toxic)"
     ranked = sums.where(telling).orderBy(F.desc("toxic"), F.col("term").endswith("*"), F.desc(F.length("term")), "term").limit(10 * MAX_TERMS).collect()
     chosen: dict[str, int] = {}
     for term, _, count, _ in ranked:
@@ -307,6 +319,8 @@ def train_model(docs: DataFrame, labels: DataFrame) -> Model:
         for term in range(len(terms)):
             c, t = seen.get((term, misspelled, False), (0, 0))
             plain = model.weights[term, misspelled, False] = (t + prior) / (c + t + 1)
+            if misspelled and plain < UNSEEN_MISSPELLED:  # mostly other words
+                plain = model.weights[term, misspelled, False] = plain * plain
             c, t = seen.get((term, misspelled, True), (0, 0))
             model.weights[term, misspelled, True] = (t + 0.2 * plain) / (c + t + 1)
     return model
