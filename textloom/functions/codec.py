@@ -66,14 +66,15 @@ def gaps_to_positions(gaps: str | Column = "gaps") -> Column:
 
 
 def delta_postings(postings: DataFrame) -> DataFrame:
-    """``term, doc_id, doc_gap, tf, gaps``: the first document of a term as it is, then differences."""
+    """``term, ordinal, doc_id, doc_gap, tf, gaps``: the first document of a term as it is, then differences."""
     order = Window.partitionBy("term").orderBy("doc_id")
-    return postings.select("term", "doc_id", (F.col("doc_id") - F.lag("doc_id", 1, 0).over(order)).alias("doc_gap"), "tf", position_gaps().alias("gaps"))
+    return postings.select("term", F.row_number().over(order).alias("ordinal"), "doc_id", (F.col("doc_id") - F.lag("doc_id", 1, 0).over(order)).alias("doc_gap"), "tf", position_gaps().alias("gaps"))
 
 
-def undelta_postings(coded: DataFrame) -> DataFrame:
-    order = Window.partitionBy("term").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    return coded.select("term", F.sum("doc_gap").over(order).alias("doc_id"), "tf", gaps_to_positions().alias("positions"))
+def undelta_postings(coded: DataFrame, order: str = "ordinal") -> DataFrame:
+    """The postings of coded ones whose column ``order`` numbers those of a term."""
+    upto = Window.partitionBy("term").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return coded.select("term", F.sum("doc_gap").over(upto).alias("doc_id"), "tf", gaps_to_positions().alias("positions"))
 
 
 def encoded_sizes(postings: DataFrame) -> DataFrame:
