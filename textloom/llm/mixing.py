@@ -39,10 +39,12 @@ M31 = 2147483647
 
 @dataclass(frozen=True)
 class Dialect:
-    """The integer operations that Spark and the checking engine spell differently."""
+    """What Spark and the checking engine spell differently."""
 
     shift: str
     xor: str
+    each: str
+    fold: str
 
     def mix(self, v: str) -> str:
         """A 32-bit hash of an expression with values in 0..2**31-1."""
@@ -52,7 +54,7 @@ class Dialect:
         return v
 
 
-SPARK = Dialect("shiftright({}, {})", "({} ^ {})")
+SPARK = Dialect("shiftright({}, {})", "({} ^ {})", "transform(sequence(0, {}), r -> {})", "aggregate({}, x, (x, k) -> {})")
 
 
 def block_words(total: int) -> int:
@@ -65,15 +67,15 @@ def order_key(doc_id: str = "doc_id") -> str:
 
 
 def permuted(d: Dialect, blocks: str = "blocks") -> str:
-    """Where the permutation of source ``sidx`` and pass ``pass`` puts ``x``; Spark's spelling.
+    """Where the permutation of source ``sidx`` and pass ``pass`` puts ``x``.
 
     A swap-or-not round pairs each position with its mirror image around a key and
     swaps the pair or not by a bit of a hash that both have in common.
     """
-    keys = f"transform(sequence(0, {ROUNDS - 1}), r -> {d.mix('sidx * 7919 + pass * 104729 + r * 1299709')})"
+    keys = d.each.format(ROUNDS - 1, d.mix("sidx * 7919 + pass * 104729 + r * 1299709"))
     mirror = f"((k % {blocks} - x + {blocks}) % {blocks})"
     swap = d.shift.format(d.mix(f"greatest(x, {mirror}) + k"), 7)
-    return f"aggregate({keys}, x, (x, k) -> CASE WHEN {swap} % 2 = 1 THEN {mirror} ELSE x END)"
+    return d.fold.format(keys, f"CASE WHEN {swap} % 2 = 1 THEN {mirror} ELSE x END")
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
