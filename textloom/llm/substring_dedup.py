@@ -128,15 +128,17 @@ def sketches(texts: DataFrame, copies: str, bits: int) -> DataFrame:
 
         now, skip, parts, size = None, None, [], 0
         for chunk, uid, rows in runs(batches):
-            if chunk != now or size >= CHUNK_WINDOWS:
+            if chunk != now:
                 if parts:
                     yield from out(now, parts)
-                skip = copies_of(copies, chunk) if chunk != now else skip
-                now, parts, size = chunk, [], 0
+                now, skip, parts, size = chunk, copies_of(copies, chunk), [], 0
             for a, b, data, bounds in K.slices(rows.column("text")):
                 h, _, per = window_hashes(K.Texts(data, bounds))
                 parts.append(h[np.repeat(~K.in_sorted(uid[a:b], skip), per)])
                 size += len(parts[-1])
+                if size >= CHUNK_WINDOWS:
+                    yield from out(now, parts)
+                    parts, size = [], 0
         if parts:
             yield from out(now, parts)
 
