@@ -226,15 +226,20 @@ def open_pairs(shared: DataFrame, centers: DataFrame, labels: DataFrame, texts:
     cores = stored(_cores(few.join(texts, "node").groupBy("a").agg(F.collect_list("text").alias("texts"))), "near-cores", small=True)
     described = stored(_differences(members.join(texts, "node").join(cores, "a")), "near-differences", small=True)
 
-    outside = described.select("a", "node", "label", F.explode("extra").alias("s"))
-    met = outside.groupBy("a", "s").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("a", "s")
+    numbers = ["core", "missing", F.size("extra").cast("long").alias("extra")]
+    fits = lambda shared: f"{100 + PERCENT} * (core - greatest(m1, m2) + {shared}) >= {PERCENT} * (2 * core - m1 - m2 + e1 + e2)"
+    outside = described.select("a", "node", "label", *numbers, F.explode("extra").alias("s"))
+    # Shingles that the same members have (an edit makes several) meet once.
+    met = outside.groupBy("a", "s").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("who")).where("x != y")
+    met = met.groupBy("a", "n", "who").agg(F.min("s").alias("s")).select("a", "s")
     left = outside.join(met, ["a", "s"])
-    by_shingle = left.toDF("c", "s", "a", "label_a").join(left.toDF("c", "s", "b", "label_b"), ["c", "s"]).where("a < b AND label_a != label_b").select("a", "b")
+    sides = [left.select(F.col("a").alias("c"), "core", "s", F.col("node").alias(n), F.col("label").alias(f"label_{n}"), F.col("missing").alias(f"m{k}"), F.col("extra").alias(f"e{k}")) for k, n in ((1, "a"), (2, "b"))]
+    by_shingle = sides[0].join(sides[1], ["c", "core", "s"]).where(f"a < b AND label_a != label_b AND {fits('least(e1, e2)')}").select("a", "b")
 
-    kinds = described.select("a", "core", "missing", F.size("extra").cast("long").alias("extra"), "node", "label")
+    kinds = described.select("a", *numbers, "node", "label")
     kind = kinds.groupBy("a", "core", "missing", "extra").agg(F.min("label").alias("x"), F.max("label").alias("y"))
     one, two = kind.toDF("c", "core", "m1", "e1", "x1", "y1"), kind.toDF("c", "core", "m2", "e2", "x2", "y2")
-    may = one.join(two, ["c", "core"]).where(f"least(x1, x2) != greatest(y1, y2) AND {100 + PERCENT} * (core - greatest(m1, m2)) >= {PERCENT} * (2 * core - m1 - m2 + e1 + e2)").select("c", "m1", "e1", "m2", "e2")
+    may = one.join(two, ["c", "core"]).where(f"least(x1, x2) != greatest(y1, y2) AND {fits(0)}").select("c", "m1", "e1", "m2", "e2")
     sides = [kinds.select(F.col("a").alias("c"), F.col("missing").alias(f"m{k}"), F.col("extra").alias(f"e{k}"), F.col("node").alias(n), F.col("label").alias(f"label_{n}")) for k, n in ((1, "a"), (2, "b"))]
     by_numbers = may.join(sides[0], ["c", "m1", "e1"]).join(sides[1], ["c", "m2", "e2"]).where("a < b AND label_a != label_b").select("a", "b")
     return by_shingle.union(by_numbers).distinct()
