@@ -62,6 +62,17 @@ def stored(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hash_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """The n rows whose keys have the smallest hashes.
+
+    Rows that cannot be among them are left out before the sort, or every task
+    would send n rows to the driver.
+    """
+    least, whole = F.pmod(F.xxhash64(key), F.lit(1 << 62)), rows.count()
+    likely = rows.where(least < int(min(1.0, 1.5 * n / max(whole, 1)) * (1 << 62))) if n >= 1000 else rows
+    return likely.orderBy(least, *rows.columns).limit(n)
+
+
 def text_or_empty(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 

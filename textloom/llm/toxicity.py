@@ -39,6 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
+from .common import hash_sample
 
 TRAIN_DOCS = 16_384
 MAX_TERMS = 300
@@ -238,7 +239,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``toxic, text`` of the labelled rows that are learnt from."""
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").select(F.col("doc_id").cast("long").alias("of"), F.col("toxic").cast("int").alias("toxic")).where(~held_out("of"))
-    sample = known.orderBy(F.xxhash64("of"), "of", "toxic").limit(TRAIN_DOCS)
+    sample = hash_sample(known, "of", TRAIN_DOCS)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), F.col("doc_id") == F.col("of")).select("toxic", "text")
 
 
