@@ -22,7 +22,7 @@ are summed per block of weights by a shuffle.  The weights have a fixed size
 (4 MB), whatever the corpus, and are broadcast.
 
 Scoring works on sparse batches in numpy.  The ``HEAD`` most frequent words (a
-fixed bound) are resolved in place; the rarer words of each document join the
+fixed bound, ties at its end left out) are resolved in place; the rarer words of each document join the
 count table by hash, so no vocabulary is broadcast.
 
 Defined results: a null or empty text is the end token alone; equal rows are
@@ -227,7 +227,10 @@ def gather_counts(table: DataFrame) -> Counts:
     end = int(END.astype(np.int64))
     total, distinct, ends = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("h") == end, F.col("n"))), F.lit(0))).first()
     words = table.where(F.col("h") != end)
-    top = words.orderBy(F.desc("n"), "h").limit(HEAD).toPandas()
+    # The smallest count that no more than HEAD words reach: a running sum over the distinct counts.
+    reach = words.groupBy("n").agg(F.count("*").alias("words")).selectExpr("n", "sum(words) OVER (ORDER BY n DESC) AS words").where(F.col("words") <= HEAD)
+    least = reach.agg(F.min("n")).first()[0]
+    top = words.where(F.col("n") >= F.lit(least)).toPandas().sort_values(["n", "h"], ascending=[False, True])
     hashes, counts = top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     by_ending = words.groupBy(F.col("h").bitwiseAND(ENDINGS - 1).alias("e")).agg(F.sum("n"), F.sum((F.col("n") == 1).cast("long"))).collect()
     tokens_of, once = np.zeros(ENDINGS), np.zeros(ENDINGS)
