@@ -436,3 +436,17 @@ def test_decontamination(spark):
     left = decontamination.without_items(table, bench)
     assert left.columns == table.columns and {r["doc_id"] for r in left.collect()} == {r[0] for r in rows} - {w[0] for w in want}
     assert decontamination.find_items(empty(spark), bench).count() == decontamination.find_items(table, bench.where("false")).count() == 0
+
+
+def test_rows_without_id(spark):
+    """Two rows without doc_id among others: every operator keeps them as rows of their own."""
+    rows = [*ROWS[:20], (None, ROWS[4][1], None, None, None), (None, None, None, None, None)]
+    table, labels = odd(spark, rows), spark.createDataFrame([(k, 1, 0) for k in range(10)] + [(None, None, None)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(None, ROWS[4][1]), (1, None)], "item_id long, text string")
+    for out in (
+        quality_rules.quality_rules(table), mixing.mix_sources(table), maxent.lm_scores(table), line_dedup.dedup_lines(table), toxicity.toxicity(table, labels),
+        substring_dedup.dedup_report(table), near_dedup.near_groups(table), quality_model.classify(table, labels),
+    ):
+        assert out.count() == len(rows) and out.where("doc_id IS NULL").count() == 2
+    assert {None, 4} <= {r["doc_id"] for r in decontamination.find_items(table, bench).collect()}
+    assert near_dedup.one_of_each(table).where("doc_id IS NULL").count() == 2

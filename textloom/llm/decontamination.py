@@ -69,7 +69,8 @@ def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hits = searched.join(F.broadcast(sketch), "h") if rows <= BROADCAST_ROWS else searched.distinct().join(sketch, "h")
     pairs = hits.select(DOC, KEY, "item_id").distinct()
 
-    named = pairs.join(items.select("item_id", "k", "shingles"), "item_id").groupBy(DOC, KEY).agg(F.collect_list(F.struct("item_id", "k", "shingles")).alias("items"))
+    whole = items.select(F.col("item_id").alias("of_item"), "k", "shingles")
+    named = pairs.join(whole, F.expr("item_id <=> of_item")).groupBy(DOC, KEY).agg(F.collect_list(F.struct("item_id", "k", "shingles")).alias("items"))
     named = named.toDF("at_doc", "at_key", "items")
     once = keyed.join(named, F.expr(f"{DOC} <=> at_doc AND {KEY} = at_key")).select(DOC, KEY, "items", normal_words().alias("words"))
     in_doc = " ".join(f"WHEN it.k = {k} THEN all[{n}]" for n, k in enumerate(ks or [SHINGLE]))
