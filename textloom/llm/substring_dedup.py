@@ -270,7 +270,8 @@ def dedup_substrings(docs: DataFrame, finish: Callable = lambda kept: b" ".join(
 
     suspects = by_chunk(merged(sketches(texts, copies, bits)), "windows-cells")
     places = repeated_windows(texts, copies, suspects, bits)
-    earliest = places.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("k1", "k2", "first")
+    # Stored, so that the join below reads plain exchanges, whose large partitions Spark splits.
+    earliest = stored(places.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("k1", "k2", "first"), "windows-first")
     later = places.join(earliest, ["k1", "k2"]).where("doc_id > first")
     cut = by_chunk(later.groupBy("uid").agg(F.collect_list("at").alias("places")).select("uid", "places", chunk), "windows-places")
     return cut_texts(texts, copies, cut, finish, f"doc_id long, n_words long, n_removed long, {column} string")
