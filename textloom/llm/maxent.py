@@ -65,6 +65,8 @@ STEP, BATCH = 65_536, 4096
 COUNT_WORDS = 4_000_000
 #: Blocks of weights that are summed apart.
 BLOCKS = 16
+#: Groups of tasks whose changes are summed first.
+GROUPS = 64
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -276,7 +278,8 @@ def train(docs: DataFrame, counts: Counts) -> tuple[np.ndarray, np.ndarray]:
                 return
             change = [((new - old) * seen).astype(np.float32) for new, old in zip((w, v), current.value)]
             packed = [zstandard.compress(b"".join(x[k * width : (k + 1) * width].tobytes() for x in change), 1) for k in range(BLOCKS)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(BLOCKS)), pa.array(np.full(BLOCKS, seen)), pa.array(packed, pa.binary())], names=["block", "seen", "change"])
+            group = TaskContext.get().partitionId() % GROUPS
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(BLOCKS)), pa.array(np.full(BLOCKS, group)), pa.array(np.full(BLOCKS, seen)), pa.array(packed, pa.binary())], names=["block", "group", "seen", "change"])
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[int, list] = {}
@@ -284,18 +287,20 @@ def train(docs: DataFrame, counts: Counts) -> tuple[np.ndarray, np.ndarray]:
                 for block, seen, change in zip(*(batch.column(c).to_pylist() for c in ("block", "seen", "change"))):
                     x = np.frombuffer(zstandard.decompress(change), np.float32)
                     if block in sums:
-                        sums[block] = [sums[block][0] + seen, sums[block][1] + x]
+                        sums[block][0] += seen
+                        sums[block][1] += x
                     else:
                         sums[block] = [seen, x.astype(np.float64)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(sums), pa.int64()), pa.array([(s[1] / s[0]).astype(np.float32).tobytes() for s in sums.values()], pa.binary())], names=["block", "mean"]
-            )
+            packed = [zstandard.compress(x.astype(np.float32).tobytes(), 1) for _, x in sums.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([n for n, _ in sums.values()], pa.int64()), pa.array(packed, pa.binary())], names=["block", "seen", "change"])
 
-        changes = rows.where(F.col("round") == r).mapInArrow(run, "block long, seen long, change binary")
-        means = changes.repartition(BLOCKS, "block").mapInArrow(add, "block long, mean binary").collect()
+        changes = rows.where(F.col("round") == r).mapInArrow(run, "block long, group long, seen long, change binary")
+        # Two levels of sums, so that no task reads the changes of all others.
+        partial = changes.repartition("block", "group").select("block", "seen", "change").mapInArrow(add, "block long, seen long, change binary")
+        totals = partial.repartition(BLOCKS, "block").mapInArrow(add, "block long, seen long, change binary").collect()
         weights = tuple(x.copy() for x in weights)
-        for block, mean in means:
-            x, at = np.frombuffer(mean, np.float32), slice(block * width, (block + 1) * width)
+        for block, seen, change in totals:
+            x, at = np.frombuffer(zstandard.decompress(change), np.float32) / np.float32(seen), slice(block * width, (block + 1) * width)
             weights[0][at] += x[: width * CLASSES].reshape(width, CLASSES)
             weights[1][at] += x[width * CLASSES :].reshape(width, TOP_EACH)
     return weights
