@@ -105,10 +105,10 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
 def draw_slots(spark, sources: DataFrame, slots: int, words: int) -> DataFrame:
     """``shard, sidx, q, pass, block`` of every slot of the mix."""
-    shards = spark.range((slots + SHARD_SLOTS - 1) // SHARD_SLOTS).selectExpr("id AS shard", f"least({SHARD_SLOTS}, {slots} - id * {SHARD_SLOTS}) AS m", f"{SPARK.mix('id + 12345')} / 4294967296D AS xi")
-    listed = sources.where("source_size > 0").agg(F.array_sort(F.collect_list(F.struct("sidx", "lo", "hi", F.expr(f"CAST(ceil(source_size / {words}D) AS BIGINT)").alias("blocks")))).alias("list"))
+    shards = spark.range((slots + SHARD_SLOTS - 1) // SHARD_SLOTS).selectExpr("id AS shard", f"least({SHARD_SLOTS}, {slots} - id * {SHARD_SLOTS}) AS m", f"{SPARK.mix('id + 12345')} / 4294967296D AS xi", "id - id AS one")
+    listed = sources.where("source_size > 0").agg(F.array_sort(F.collect_list(F.struct("sidx", "lo", "hi", F.expr(f"CAST(ceil(source_size / {words}D) AS BIGINT)").alias("blocks")))).alias("list"), F.min(F.col("sidx") - F.col("sidx")).alias("one"))
     drawn = (
-        shards.join(F.broadcast(listed))  # one row: the list of sources
+        shards.join(F.broadcast(listed), "one")  # one row: the list of sources
         .selectExpr("shard", "m", "xi", "explode(list) AS s")
         .selectExpr("shard", "s.sidx AS sidx", "s.blocks AS blocks", "CAST(ceil(s.hi * m - xi) - ceil(s.lo * m - xi) AS BIGINT) AS n")
         .where("n > 0")
