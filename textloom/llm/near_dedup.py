@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
@@ -216,7 +216,7 @@ def open_pairs(shared: DataFrame, centers: DataFrame, labels: DataFrame, texts:
     their intersection is at most the core less what either lacks, so two numbers
     each decide whether they can be similar; few combinations of numbers occur, and
     only combinations that pass give pairs.  All other pairs share a shingle
-    outside the core and meet there.  Any core is right; a good one, from the
+    outside the core and meet there, at one of the rarest.  Any core is right; a good one, from the
     majority of a few members, leaves few pairs.
     """
     named = shared.join(labels, "node", "left").select("band", "h", "node", F.coalesce("label", "node").alias("label"))
@@ -229,10 +229,13 @@ def open_pairs(shared: DataFrame, centers: DataFrame, labels: DataFrame, texts:
     numbers = ["core", "missing", F.size("extra").cast("long").alias("extra")]
     fits = lambda shared: f"{100 + PERCENT} * (core - greatest(m1, m2) + {shared}) >= {PERCENT} * (2 * core - m1 - m2 + e1 + e2)"
     outside = described.select("a", "node", "label", *numbers, F.explode("extra").alias("s"))
-    # Shingles that the same members have (an edit makes several) meet once.
-    met = outside.groupBy("a", "s").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("who")).where("x != y")
-    met = met.groupBy("a", "n", "who").agg(F.min("s").alias("s")).select("a", "s")
-    left = outside.join(met, ["a", "s"])
+    who = outside.groupBy("a", "s").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("who"))
+    # Of n shingles with e outside the core, a partner has at least e - 0.15 n of these, and so one of the rarest
+    # 0.15 n + 1.  Shingles that the same members have (an edit makes several) meet once, by the first of them.
+    rarest = Window.partitionBy("a", "node").orderBy("n", "who", "s")
+    needed = F.greatest(F.lit(1), F.ceil((100 * F.col("extra") - (100 - PERCENT) * (F.col("core") - F.col("missing") + F.col("extra"))) / 100))
+    placed = outside.join(who, ["a", "s"]).withColumn("place", F.row_number().over(rarest)).withColumn("before", F.lag(F.struct("n", "who")).over(rarest))
+    left = placed.where(F.col("place") <= F.col("extra") - needed + 1).where("x != y AND NOT (before <=> struct(n, who))")
     sides = [left.select(F.col("a").alias("c"), "core", "s", F.col("node").alias(n), F.col("label").alias(f"label_{n}"), F.col("missing").alias(f"m{k}"), F.col("extra").alias(f"e{k}")) for k, n in ((1, "a"), (2, "b"))]
     by_shingle = sides[0].join(sides[1], ["c", "core", "s"]).where(f"a < b AND label_a != label_b AND {fits('least(e1, e2)')}").select("a", "b")
 
