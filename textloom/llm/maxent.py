@@ -232,8 +232,8 @@ def gather_counts(table: DataFrame) -> Counts:
     # The smallest count that no more than HEAD words reach: a running sum over the distinct counts.
     reach = words.groupBy("n").agg(F.count("*").alias("words")).selectExpr("n", "sum(words) OVER (ORDER BY n DESC) AS words").where(F.col("words") <= HEAD)
     least = reach.agg(F.min("n")).first()[0]
-    top = words.where(F.col("n") >= F.lit(least)).toPandas().sort_values(["n", "h"], ascending=[False, True])
-    hashes, counts = top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    top = words.where(F.col("n") >= F.lit(least)).toArrow().sort_by([("n", "descending"), ("h", "ascending")])
+    hashes, counts = top["h"].to_numpy().view(np.uint64), top["n"].to_numpy()
     by_ending = words.groupBy(F.col("h").bitwiseAND(ENDINGS - 1).alias("e")).agg(F.sum("n"), F.sum((F.col("n") == 1).cast("long"))).collect()
     tokens_of, once = np.zeros(ENDINGS), np.zeros(ENDINGS)
     for e, n, n1 in by_ending:
