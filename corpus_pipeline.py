@@ -22,6 +22,9 @@ from textloom.llm.mixing import mix_sources
 from textloom.llm.near_dedup import one_of_each
 from textloom.llm.quality_model import good_only
 
+#: Near duplicates in the pipeline: words of a shingle, percent of similarity.
+NEAR_SHINGLE, NEAR_PERCENT = 5, 80
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -50,7 +53,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @stage
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
-    return one_of_each(docs)
+    return one_of_each(docs, NEAR_SHINGLE, NEAR_PERCENT)
 
 
 @stage

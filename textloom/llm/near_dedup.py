@@ -1,7 +1,8 @@
 """Near-duplicate groups by SuperMinHash signatures, banding, exact verification and union-find.
 
-A document's set holds its distinct three-word shingles (the whole sequence if
-it has fewer words).  Documents with equal sets form a class, so copies cost
+A document's set holds its distinct shingles of ``shingle`` words (the whole
+sequence if it has fewer words); sets link from ``percent`` of Jaccard
+similarity on.  The query takes three words and 85, the pipeline five and 80.  Documents with equal sets form a class, so copies cost
 one row each and only one member of a class is compared.
 
 SuperMinHash: every shingle visits all signature slots once, in the order of
@@ -26,6 +27,7 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +41,10 @@ from .common import stored
 SHINGLE = 3
 PERCENT = 85
 SLOTS = 64
-BANDS = 16
+#: Slots of a band.
+BAND_SLOTS = 4
+#: Chance that two sets just similar enough share no band.
+MISSED = 1e-5
 #: Members of a centre whose majority makes its core.
 CORE_MEMBERS = 15
 
@@ -48,14 +53,19 @@ LOWER[65:91] += 32
 _CODES, _WORD, _SHINGLE = K.byte_codes(81), K.Roller(82), K.Roller(83)
 
 
-def shingle_sets(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def bands_for(percent: int) -> int:
+    """As many bands as keep the chance of a miss; 16 at 85 percent."""
+    return math.ceil(math.log(MISSED) / math.log(1 - (min(percent, 99) / 100) ** BAND_SLOTS))
+
+
+def shingle_sets(data: np.ndarray, bounds: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each text, one after the other, and their numbers."""
     texts = K.Texts(LOWER[data], bounds)
     prefix = _SHINGLE.prefix(texts.word_hashes(_WORD, _CODES))
     sets = []
     for a, b in zip(texts.first[:-1], texts.first[1:]):
-        at = np.arange(a, max(b - SHINGLE, a) + 1) if b > a else np.zeros(0, np.int64)
-        sets.append(np.unique(_SHINGLE.ranges(prefix, at, np.minimum(at + SHINGLE, b)) + np.uint64(min(b - a, SHINGLE))))
+        at = np.arange(a, max(b - shingle, a) + 1) if b > a else np.zeros(0, np.int64)
+        sets.append(np.unique(_SHINGLE.ranges(prefix, at, np.minimum(at + shingle, b)) + np.uint64(min(b - a, shingle))))
     return np.concatenate(sets), np.fromiter(map(len, sets), np.int64, len(sets))
 
 
@@ -84,27 +94,28 @@ def superminhash(sets: np.ndarray, counts: np.ndarray, slots: int = SLOTS) -> np
     return values
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """``doc_id, n_shingles, d1, d2`` (a digest of the set) and the ``bands`` of each document."""
+    n_bands = bands_for(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, bounds in K.slices(batch.column("text")):
-                sets, counts = shingle_sets(data, bounds)
+                sets, counts = shingle_sets(data, bounds, shingle)
                 ends = np.concatenate([[0], np.cumsum(counts)])
                 sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(K.mix(sets + np.uint64(s)))]) for s in (1, 2)]
                 digests = [K.mix(x[ends[1:]] - x[ends[:-1]] + counts.astype(np.uint64)).view(np.int64) for x in sums]
-                values = superminhash(sets, counts).astype(np.uint64).reshape(-1, BANDS, SLOTS // BANDS)
+                values = superminhash(sets, counts, n_bands * BAND_SLOTS).astype(np.uint64).reshape(-1, n_bands, BAND_SLOTS)
                 bands = np.zeros(values.shape[:2], np.uint64)
                 for r in range(values.shape[2]):
                     bands = K.mix(bands * np.uint64(0x9E3779B97F4A7C15) + values[:, :, r] + np.uint64(r))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * BANDS), pa.array(bands.reshape(-1).view(np.int64)))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * n_bands), pa.array(bands.reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(counts), *map(pa.array, digests), lists], names=["doc_id", "n_shingles", "d1", "d2", "bands"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Those pairs ``a, b`` whose full sets are similar enough; ``texts``: ``node, text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,15 +124,15 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             last, center = None, None
             names, b_rows = batch.column("a").to_numpy(), batch.column("text_b")
             for i, j, data, bounds in K.slices(b_rows):
-                sets, counts = shingle_sets(data, bounds)
+                sets, counts = shingle_sets(data, bounds, shingle)
                 ends = np.concatenate([[0], np.cumsum(counts)])
                 for k in range(i, j):
                     if names[k] != last:
                         last = names[k]
-                        center = np.concatenate([shingle_sets(*x[2:])[0] for x in K.slices(batch.column("text_a").slice(k, 1))])
+                        center = np.concatenate([shingle_sets(*x[2:], shingle)[0] for x in K.slices(batch.column("text_a").slice(k, 1))])
                     own = sets[ends[k - i] : ends[k - i + 1]]
                     both = np.count_nonzero(K.in_sorted(own, center))
-                    keep[k] = 100 * both >= PERCENT * (len(own) + len(center) - both)
+                    keep[k] = 100 * both >= percent * (len(own) + len(center) - both)
             yield pa.RecordBatch.from_arrays([x.filter(pa.array(keep)) for x in (batch.column("a"), batch.column("b"))], names=["a", "b"])
 
     of = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
@@ -172,14 +183,14 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def _cores(samples: DataFrame) -> DataFrame:
+def _cores(samples: DataFrame, shingle: int) -> DataFrame:
     """``a, core``: the shingles that most of a centre's sampled members have; ``samples``: ``a, texts``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cores = []
             for texts in batch.column("texts"):
-                sets = [shingle_sets(*x[2:])[0] for x in K.slices(texts.values, 1)]
+                sets = [shingle_sets(*x[2:], shingle)[0] for x in K.slices(texts.values, 1)]
                 found, times = np.unique(np.concatenate(sets), return_counts=True)
                 cores.append(found[2 * times > len(sets)].view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("a"), pa.array(cores, pa.list_(pa.int64()))], names=["a", "core"])
@@ -187,14 +198,14 @@ def _cores(samples: DataFrame) -> DataFrame:
     return samples.mapInArrow(run, "a long, core array<long>")
 
 
-def _differences(members: DataFrame) -> DataFrame:
+def _differences(members: DataFrame, shingle: int) -> DataFrame:
     """``a, node, label, core, missing, extra``: how a member's set differs from its centre's core."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cores, missing, extra = batch.column("core"), [], []
             for i, j, data, bounds in K.slices(batch.column("text")):
-                sets, counts = shingle_sets(data, bounds)
+                sets, counts = shingle_sets(data, bounds, shingle)
                 ends = np.concatenate([[0], np.cumsum(counts)])
                 for k in range(i, j):
                     own, core = sets[ends[k - i] : ends[k - i + 1]], np.sort(cores[k].values.to_numpy().view(np.uint64))
@@ -207,7 +218,7 @@ def _differences(members: DataFrame) -> DataFrame:
     return members.select("a", "node", "label", "core", "text").mapInArrow(run, "a long, node long, label long, core long, missing long, extra array<long>")
 
 
-def open_pairs(shared: DataFrame, centers: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+def open_pairs(shared: DataFrame, centers: DataFrame, labels: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """``a, b`` (a < b): all pairs of different components that share a bucket and may be similar enough.
 
     Pairs are not formed within buckets, where a large group of copies would give
@@ -223,17 +234,17 @@ def open_pairs(shared: DataFrame, centers: DataFrame, labels: DataFrame, texts:
     split = named.groupBy("band", "h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("band", "h")
     members = stored(named.join(split, ["band", "h"]).join(centers.select("band", "h", "a"), ["band", "h"]).select("a", "node", "label").distinct(), "near-open", small=True)
     few = members.selectExpr("a", "node", "row_number() OVER (PARTITION BY a ORDER BY xxhash64(node), node) AS r").where(f"r <= {CORE_MEMBERS}")
-    cores = stored(_cores(few.join(texts, "node").groupBy("a").agg(F.collect_list("text").alias("texts"))), "near-cores", small=True)
-    described = stored(_differences(members.join(texts, "node").join(cores, "a")), "near-differences", small=True)
+    cores = stored(_cores(few.join(texts, "node").groupBy("a").agg(F.collect_list("text").alias("texts")), shingle), "near-cores", small=True)
+    described = stored(_differences(members.join(texts, "node").join(cores, "a"), shingle), "near-differences", small=True)
 
     numbers = ["core", "missing", F.size("extra").cast("long").alias("extra")]
-    fits = lambda shared: f"{100 + PERCENT} * (core - greatest(m1, m2) + {shared}) >= {PERCENT} * (2 * core - m1 - m2 + e1 + e2)"
+    fits = lambda shared: f"{100 + percent} * (core - greatest(m1, m2) + {shared}) >= {percent} * (2 * core - m1 - m2 + e1 + e2)"
     outside = described.select("a", "node", "label", *numbers, F.explode("extra").alias("s"))
     who = outside.groupBy("a", "s").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("who"))
-    # Of n shingles with e outside the core, a partner has at least e - 0.15 n of these, and so one of the rarest
-    # 0.15 n + 1.  Shingles that the same members have (an edit makes several) meet once, by the first of them.
+    # Of n shingles with e outside the core, a partner has at least e - x n of these, and so one of the rarest
+    # x n + 1, x being the share that may differ.  Shingles that the same members have (an edit makes several) meet once, by the first of them.
     rarest = Window.partitionBy("a", "node").orderBy("n", "who", "s")
-    needed = F.greatest(F.lit(1), F.ceil((100 * F.col("extra") - (100 - PERCENT) * (F.col("core") - F.col("missing") + F.col("extra"))) / 100))
+    needed = F.greatest(F.lit(1), F.ceil((100 * F.col("extra") - (100 - percent) * (F.col("core") - F.col("missing") + F.col("extra"))) / 100))
     placed = outside.join(who, ["a", "s"]).withColumn("place", F.row_number().over(rarest)).withColumn("before", F.lag(F.struct("n", "who")).over(rarest))
     left = placed.where(F.col("place") <= F.col("extra") - needed + 1).where("x != y AND NOT (before <=> struct(n, who))")
     sides = [left.select(F.col("a").alias("c"), "core", "s", F.col("node").alias(n), F.col("label").alias(f"label_{n}"), F.col("missing").alias(f"m{k}"), F.col("extra").alias(f"e{k}")) for k, n in ((1, "a"), (2, "b"))]
@@ -248,9 +259,9 @@ def open_pairs(shared: DataFrame, centers: DataFrame, labels: DataFrame, texts:
     return by_shingle.union(by_numbers).distinct()
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
+def near_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept, class_id`` (the smallest doc_id with the same set)."""
-    sigs = stored(signatures(docs), "near-signatures")
+    sigs = stored(signatures(docs, shingle, percent), "near-signatures")
     classes = sigs.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")).where("node IS NOT NULL")
     rows = classes.select("node", "n_shingles", F.posexplode("bands").alias("band", "h"))
     sizes = rows.groupBy("band", "h").agg(F.count("*").alias("members")).where("members > 1")
@@ -259,15 +270,15 @@ def near_groups(docs: DataFrame) -> DataFrame:
     weight = shared.groupBy("node").agg(F.sum("members").alias("weight"))
     members = shared.join(weight, "node")
     centers = members.groupBy("band", "h").agg(F.max(F.struct("weight", -F.col("node"), "n_shingles")).alias("c")).select("band", "h", F.expr("-c.col2").alias("a"), F.col("c.n_shingles").alias("n_a"))
-    similar_size = f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)"
+    similar_size = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
     stars = shared.withColumnRenamed("n_shingles", "n_b").withColumnRenamed("node", "b").join(centers, ["band", "h"]).where("a != b").where(similar_size).select("a", "b").distinct()
 
     wanted = shared.select(F.col("node").alias("doc_id")).distinct()
     texts = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), "text"), "near-texts")
-    links = stored(confirmed(stars, texts), "near-links")
+    links = stored(confirmed(stars, texts, shingle, percent), "near-links")
     labels = components(links)
 
-    more = stored(confirmed(open_pairs(shared, centers, labels, texts).join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), texts), "near-more")
+    more = stored(confirmed(open_pairs(shared, centers, labels, texts, shingle, percent).join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), texts, shingle, percent), "near-more")
     if not more.isEmpty():
         labels = components(links.union(more))
 
@@ -276,8 +287,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"), F.coalesce("node", "doc_id").alias("class_id"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The documents without those that a smaller doc_id of their group stands for; equal doc_ids count once."""
-    gone = near_groups(docs).where("NOT kept").select(F.col("doc_id").alias("__near_doc")).distinct()
+    gone = near_groups(docs, shingle, percent).where("NOT kept").select(F.col("doc_id").alias("__near_doc")).distinct()
     left = docs.join(gone, docs["doc_id"] == gone["__near_doc"], "left_anti")
     return left.where("doc_id IS NULL").unionByName(left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))

@@ -40,7 +40,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(table(spark, sf_dir, "documents"))
+    return near_groups(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
 def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
