@@ -283,6 +283,21 @@ def test_toxicity(spark):
     assert {r["score"] for r in toxicity.toxicity(odd(spark, docs), known.where("false")).collect()} == {0.0}
 
 
+def test_rare_and_quoted_terms(spark):
+    """A hundred terms in one percent of the toxic documents each, and one that as many clean documents quote."""
+    rng = random.Random(14)
+    terms = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(100)]
+    rows = [(1, f"{prose(rng, 6, 200)} {terms[k % 100]} {prose(rng, 6, 200)}") for k in range(1200)]
+    rows += [(1, f"{prose(rng, 6, 200)} insultus {prose(rng, 6, 200)}") for _ in range(60)]
+    rows += [(0, f'{prose(rng, 6, 200)} said "insultus" {prose(rng, 6, 200)}') for _ in range(60)]
+    rows += [(0, prose(rng, 13, 200)) for _ in range(2400)]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, (_, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(k, 1, x) for k, (x, _) in enumerate(rows)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity(docs, labels).where("held_out").collect()}
+    rare, used, quoted, clean = ([x for k, x in got.items() if a <= k < b] for a, b in ((0, 1200), (1200, 1260), (1260, 1320), (1320, len(rows))))
+    assert np.mean(rare) > 0.95 and np.mean(used) == 1 and not any(quoted) and np.mean(clean) < 0.01
+
+
 # Substring deduplication
 
 def test_substring_dedup(spark):

@@ -1,9 +1,14 @@
 """Toxicity by a lexicon whose misspellings are caught too, weighed by context.
 
-Lexicon: words, and beginnings of words, that occur in documents labelled
-toxic and hardly in others, counted by a distributed aggregation over at most
-``TRAIN_DOCS`` labelled rows (in the order of a hash; a fixed bound on what the
-classifier is fitted on), at most ``MAX_TERMS`` of them.
+Lexicon: words, and beginnings of words, whose share of toxic documents is
+above that of all documents by more than chance gives, counted by a distributed
+aggregation over at most ``TRAIN_DOCS`` labelled rows (in the order of a hash; a
+fixed bound on what the classifier is fitted on).  Only hits that are not quoted
+count; equal texts count once, and so do toxic documents whose hits have the
+same neighbours, as near copies have.  The test is Chernoff's bound on the binomial
+tail, at a level of one over the number of terms tested, so that less than one
+term is expected by chance, however rare or many the terms are; and most of the
+documents with such hits are toxic.
 
 Matching: the lexicon is a trie, and the Levenshtein automaton of its terms
 (one edit from five letters on, two from nine; an exchange of neighbours is one
@@ -15,9 +20,9 @@ Context: a hit counts as quotation if the three words before and the three
 after it both hold a quotation mark, or a reporting word stands among the four
 words before it.  Each (term, misspelled, quoted) has a weight: the share of
 toxic documents among the training documents with such a hit, smoothed.  A
-document's score is one minus the product of its hits' complements, each term
-counted once at its largest weight; without a hit it is the share of toxic
-documents among those without.
+document's score joins its terms, each once at its largest weight, and the
+share of toxic documents among those without a hit: its complement is the
+product of theirs, where a weight counts by what it has above that share.
 
 Defined results: null and empty texts have no hit; rows with equal doc_id and
 text get equal scores; a null doc_id is not held out; without any label the
@@ -28,10 +33,8 @@ score.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,21 +42,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import hash_sample
+from .common import hash_sample, stored
 
 TRAIN_DOCS = 16_384
-MAX_TERMS = 300
 THRESHOLD = 0.3
-#: A term is in at least this share of the toxic documents, and in SURE_DOCS of them or, three times each, in two.
-MIN_PERCENT = 2
-SURE_DOCS = 8
-MOST_TIMES = 4
 #: Weight of a misspelling of which training saw none, and the start for the others.
 UNSEEN_MISSPELLED = 0.5
+#: Letters of the beginnings that are terms.
+STEMS = (4, 5, 6)
 WINDOW = 3
 #: Words that report what others said, in the four languages.
 REPORTING = frozenset(
-    "said wrote writes quoted quote called word term dit écrit cite mot terme sagte schrieb zitiert wort begriff dijo escribió cita palabra término".split()
+    "said wrote writes quoted quote called word term dit écrit cite mot terme sagte schrieb zitiert wort begriff dijo escribió cita palabra término".encode().split()
 )
 
 #: Lower case; digits as the letters they stand for; all else that is no letter breaks words.
@@ -62,6 +62,7 @@ FOLD[97:123] = np.arange(97, 123)
 FOLD[65:91] = np.arange(97, 123)
 FOLD[128:] = np.arange(128, 256)
 FOLD[48:58] = list(b"oizeasbtbg")
+_CODES, _WORD = K.byte_codes(61), K.Roller(62)
 
 
 def edits_allowed(term: str) -> int:
@@ -181,13 +182,24 @@ def intersect(terms: list[str]) -> Automaton:
     numbers, order = {frozenset(): 0, start: 1}, [frozenset(), start]
     rows: list[list[int]] = []
     for states in order:
-        row = []
-        for byte in (None, *used):
+        told: set[int] = set()  # all other bytes lead where no letter of the terms does
+        for node, e in states:
+            if isinstance(node, tuple):
+                told.add(node[1])
+            elif node >= 0:
+                told.update(children[node])
+                if node and e < most[node]:
+                    told.update(*(children[x] for x in children[node].values()))
+        row = None
+        for byte in (None, *told):
             target = step(states, byte)
             if target not in numbers:
                 numbers[target] = len(order)
                 order.append(target)
-            row.append(numbers[target])
+            if row is None:
+                row = np.full(len(used) + 1, numbers[target], np.int32)
+            else:
+                row[classes[byte]] = numbers[target]
         rows.append(row)
     ended = [best(s) for s in order]
     return Automaton(classes, np.array(rows, np.int32), np.array([x[1] for x in ended], np.int32), np.array([x[0] for x in ended], np.int32))
@@ -202,30 +214,38 @@ class Model:
     base: float = 0.0
 
 
-def hits(model: Model, data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, bool, bool]]:
-    """(text, term, misspelled, quoted) of each hit of a slice."""
-    texts = K.Texts(FOLD[data], bounds)
-    found, terms, edits = model.automaton.match(texts)
-    if not len(found):
-        return
+def quotations(texts: K.Texts, data: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Which of the words ``found`` are quoted or reported."""
     shifted = np.concatenate([[0], data[:-1]])
     marks = (data == 0x22) | ((shifted == 0xC2) & ((data == 0xAB) | (data == 0xBB))) | ((shifted == 0x80) & (data >= 0x9C) & (data <= 0x9E))
     so_far = np.concatenate([[0], np.cumsum(marks)])
     owner = np.searchsorted(texts.first, found, side="right") - 1
     low, high = texts.first[owner], texts.first[owner + 1] - 1
     before = so_far[texts.start[found]] - so_far[texts.start[np.maximum(found - WINDOW, low)]]
-    after = so_far[np.minimum(texts.end[np.minimum(found + WINDOW, high)] + 1, bounds[owner + 1])] - so_far[texts.end[found]]
+    after = so_far[np.minimum(texts.end[np.minimum(found + WINDOW, high)] + 1, texts.bounds[owner + 1])] - so_far[texts.end[found]]
     quoted = (before > 0) & (after > 0)
+    raw, start, end = texts.data.tobytes(), texts.start, texts.end
     for k, word in enumerate(found):
-        reported = quoted[k] or any(texts.data[texts.start[i] : texts.end[i]].tobytes().decode(errors="replace") in REPORTING for i in range(max(word - WINDOW - 1, low[k]), word))
-        yield int(owner[k]), int(terms[k]), bool(edits[k] > 0), bool(reported)
+        quoted[k] = quoted[k] or any(raw[start[i] : end[i]] in REPORTING for i in range(max(word - WINDOW - 1, low[k]), word))
+    return quoted
+
+
+def hits(model: Model, data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, bool, bool]]:
+    """(text, term, misspelled, quoted) of each hit of a slice."""
+    texts = K.Texts(FOLD[data], bounds)
+    found, terms, edits = model.automaton.match(texts)
+    if not len(found):
+        return
+    owner = np.searchsorted(texts.first, found, side="right") - 1
+    for k, quoted in enumerate(quotations(texts, data, found)):
+        yield int(owner[k]), int(terms[k]), bool(edits[k] > 0), bool(quoted)
 
 
 def score_slice(model: Model, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     best: dict[int, dict[int, float]] = {}
     for text, *kind in hits(model, data, bounds):
         own, weight = best.setdefault(text, {}), model.weights.get(tuple(kind), 0.0)
-        own[kind[0]] = max(own.get(kind[0], 0.0), weight)
+        own[kind[0]] = max(own.get(kind[0], 0.0), (weight - model.base) / max(1.0 - model.base, 1e-9))
     scores = np.full(len(bounds) - 1, model.base)
     for text, own in best.items():
         scores[text] = 1.0 - (1.0 - model.base) * np.prod([1.0 - w for w in own.values()])
@@ -237,10 +257,53 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``toxic, text`` of the labelled rows that are learnt from."""
+    """``toxic, text`` of the labelled rows that are learnt from, one for equal texts with one label."""
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").select(F.col("doc_id").cast("long").alias("of"), F.col("toxic").cast("int").alias("toxic")).where(~held_out("of"))
     sample = hash_sample(known, "of", TRAIN_DOCS)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), F.col("doc_id") == F.col("of")).select("toxic", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    one = texts.join(F.broadcast(sample), F.col("doc_id") == F.col("of")).groupBy("toxic", F.md5("text")).agg(F.min("of").alias("of")).select("of", "toxic")
+    return texts.join(F.broadcast(stored(one, "toxicity-sample", small=True)), F.col("doc_id") == F.col("of")).select("toxic", "text")
+
+
+def free_words(batch: pa.RecordBatch) -> Iterator[tuple[int, dict[str, int]]]:
+    """``toxic`` and the words that are not quoted of each text, with the least hash of their neighbours."""
+    marks = batch.column("toxic").to_pylist()
+    for a, b, data, bounds in K.slices(batch.column("text")):
+        texts = K.Texts(FOLD[data], bounds)
+        quoted, raw = quotations(texts, data, np.arange(len(texts.start))), texts.data.tobytes()
+        hashes = np.concatenate([np.zeros(1, np.uint64), texts.word_hashes(_WORD, _CODES), np.zeros(1, np.uint64)])
+        around = K.mix(K.mix(hashes[:-2]) + hashes[2:]).view(np.int64)
+        for k in range(b - a):
+            at = np.flatnonzero(~quoted[texts.first[k] : texts.first[k + 1]]) + texts.first[k]
+            own: dict[str, int] = {}
+            for s, e, near in zip(texts.start[at].tolist(), texts.end[at].tolist(), around[at].tolist()):
+                if 3 <= len(x := raw[s:e].decode(errors="replace")) <= 40:
+                    own[x] = min(own.get(x, near), near)
+            yield marks[a + k], own
+
+
+def begun_by(word: str) -> list[str]:
+    """The terms that a word has: itself and its beginnings."""
+    return [word, *(f"{word[:n]}*" for n in STEMS if len(word) > n)]
+
+
+def origins(train: DataFrame, terms: set[str]) -> DataFrame:
+    """``term, origins``: toxic documents with the terms, those with the same neighbours counted once."""
+    shared = train.sparkSession.sparkContext.broadcast(terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen = set()
+            for toxic, words in free_words(batch):
+                least: dict[str, int] = {}
+                for word, near in words.items() if toxic else ():
+                    for term in begun_by(word):
+                        if term in shared.value:
+                            least[term] = min(least.get(term, near), near)
+                seen.update(least.items())
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in seen], pa.string()), pa.array([x[1] for x in seen], pa.int64())], names=["term", "near"])
+
+    return train.mapInArrow(run, "term string, near long").distinct().groupBy("term").agg(F.count("*").alias("origins"))
 
 
 def learn_terms(train: DataFrame) -> list[str]:
@@ -248,42 +311,44 @@ def learn_terms(train: DataFrame) -> list[str]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(counts: dict[str, list[int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *(pa.array([x[k] for x in counts.values()], pa.int64()) for k in (0, 1, 2))], names=["term", "clean", "toxic", "times"])
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *(pa.array([x[k] for x in counts.values()], pa.int64()) for k in (0, 1))], names=["term", "clean", "toxic"])
 
         counts: dict[str, list[int]] = {}
         for batch in batches:
-            marks = batch.column("toxic").to_pylist()
-            for a, b, data, bounds in K.slices(batch.column("text")):
-                raw = FOLD[data].tobytes()
-                for k in range(b - a):
-                    words = Counter(x for x in raw[bounds[k] : bounds[k + 1]].decode(errors="replace").split(" ") if 3 <= len(x) <= 40)
-                    stems = Counter(f"{w[:n]}*" for w in words for n in (4, 5, 6) if len(w) > n)
-                    for term, n in chain(words.items(), stems.items()):
-                        own = counts.setdefault(term, [0, 0, 0])
-                        own[marks[a + k]] += 1
-                        own[2] += marks[a + k] * min(n, MOST_TIMES)
+            for toxic, words in free_words(batch):
+                for term in {x for w in words for x in begun_by(w)}:
+                    counts.setdefault(term, [0, 0])[toxic] += 1
                 if len(counts) > 300_000:
                     yield out(counts)
                     counts = {}
         yield out(counts)
 
-    sums = train.mapInArrow(run, "term string, clean long, toxic long, times long").groupBy("term").agg(*(F.sum(c).alias(c) for c in ("clean", "toxic", "times")))
-    toxic_docs = train.where("toxic = 1").count()
-    telling = f"toxic >= 50 * clean AND 100 * toxic >= {MIN_PERCENT} * {toxic_docs} AND (toxic >= {SURE_DOCS} OR toxic >= 2 AND times >= 3 * toxic)"
-    ranked = sums.where(telling).orderBy(F.desc("toxic"), F.col("term").endswith("*"), F.desc(F.length("term")), "term").limit(10 * MAX_TERMS).collect()
-    chosen: dict[str, int] = {}
-    for term, _, count, _ in ranked:
+    sums = stored(train.mapInArrow(run, "term string, clean long, toxic long").groupBy("term").agg(*(F.sum(c).alias(c) for c in ("clean", "toxic"))), "toxicity-terms", small=True)
+    tested = sums.count()
+    documents = {x["toxic"]: x["n"] for x in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if not tested or len(documents) < 2:
+        return []
+    base = documents[1] / sum(documents.values())
+    evidence = f"toxic * ln(toxic / ((toxic + clean) * {base}D)) + coalesce(clean * ln(nullif(clean, 0) / ((toxic + clean) * {1 - base}D)), 0)"
+    telling = f"toxic > clean AND toxic > {base}D * (toxic + clean) AND evidence >= ln({tested})"
+    told = lambda rows: rows.where("toxic > 0").selectExpr("term", "toxic", "clean", f"{evidence} AS evidence").where(telling)
+    # The terms of a bounded number of documents.
+    likely = stored(told(sums).select("term", "clean"), "toxicity-likely", small=True)
+    apart = likely.join(origins(train, {x["term"] for x in likely.collect()}), "term").select("term", "clean", F.col("origins").alias("toxic"))
+    ranked = told(apart).orderBy(F.desc("evidence"), F.col("term").endswith("*"), F.desc(F.length("term")), "term").select("term").collect()
+    # A beginning stands for the words that start with it, where it tells more than any of them.
+    chosen: list[str] = []
+    stems: set[str] = set()
+    begun: set[str] = set()
+    for (term,) in ranked:
         stem = term.rstrip("*")
-        if any(x.endswith("*") and stem.startswith(x[:-1]) for x in chosen):
-            continue
-        if term.endswith("*") and count <= 1.2 * max((n for x, n in chosen.items() if x.startswith(stem)), default=0):
+        if any(stem[:n] in stems for n in STEMS) or term.endswith("*") and stem in begun:
             continue
-        chosen[term] = count
-        if len(chosen) == MAX_TERMS:
-            break
-    # A beginning stands for the words that start with it.
-    stems = [x[:-1] for x in chosen if x.endswith("*")]
-    return sorted(x for x in chosen if not any(x != f"{s}*" and x.startswith(s) for s in stems))
+        chosen.append(term)
+        begun.update(stem[:n] for n in STEMS)
+        if term.endswith("*"):
+            stems.add(stem)
+    return sorted(chosen)
 
 
 def train_model(docs: DataFrame, labels: DataFrame) -> Model:
