@@ -32,14 +32,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.dataset
-import pyarrow.fs
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import scratch, stored
+from .common import read_part, scratch, stored
 
 WORDS = 13
 CELLS_PER_WINDOW = 16
@@ -78,10 +76,7 @@ def unpack(data: bytes) -> np.ndarray:
 
 def part_of(path: str, chunk: int, columns: list[str]) -> pa.Table | None:
     """The rows of a chunk in a table partitioned by chunk."""
-    files, base = pyarrow.fs.FileSystem.from_uri(f"{path}/chunk={chunk}")
-    if files.get_file_info(base).type == pyarrow.fs.FileType.NotFound:
-        return None
-    return pyarrow.dataset.dataset(base, filesystem=files, format="parquet", exclude_invalid_files=False).to_table(columns=columns)
+    return read_part(path, f"chunk={chunk}", columns)
 
 
 def by_chunk(df: DataFrame, name: str) -> str:
