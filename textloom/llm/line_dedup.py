@@ -6,13 +6,15 @@ fingerprint, so any run of that many lines that two places share has a
 fingerprint in common.  A line of ``LONG_WORDS`` words or more is a run of its
 own and always a fingerprint.
 
-Fingerprints that occur in one place only are dropped by a join against the
-places per fingerprint.  From the positions that remain, matches are extended
-to both sides over the windows that chose the fingerprint; the extended runs
+Only the selected lines are exploded and joined, each with the windows that
+chose it.  Fingerprints that occur in one place only are dropped by a join
+against the places per fingerprint.  At the places that remain, matches are
+extended to both sides over the windows that chose the fingerprint, and those
 are compared with the first place (smallest doc_id, then position) that has
 them, never pair by pair, so a run that thousands of documents share costs one
 row for each.  Every line of a run that also starts at an earlier place is
-deleted; overlapping runs make up runs of any length.
+deleted; as each window of a longer run has its fingerprint in that run,
+overlapping windows make up runs of any length.
 
 Defined results: a null or empty text has no lines and stays as it is; rows
 with equal doc_id and text are one document and get the same result; a null
@@ -26,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, n_words, text_or_empty
+from .common import WORD, n_words, stored, text_or_empty
 
 RUN_LINES = 3
 LONG_WORDS = 10
@@ -38,8 +40,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({DOC: F.col("doc_id").cast("long"), KEY: F.xxhash64("text")})
 
 
-def candidate_runs(docs: DataFrame) -> DataFrame:
-    """A row per window or long line: its fingerprint ``f`` and where that stands (``anchor``), its hash and lines."""
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """A row per selected line: its hash ``f``, its place ``p`` among the document's lines, and the windows that chose it.
+
+    ``windows`` holds place, hashes and line numbers of up to ``RUN_LINES`` windows,
+    and of the line itself where it is long.
+    """
     k, wanted = RUN_LINES, WORD.replace("\\", "\\\\")
     hashed = docs.select(
         DOC,
@@ -48,21 +54,28 @@ def candidate_runs(docs: DataFrame) -> DataFrame:
     )
     inside = ", ".join(f"rows[p + {j}].h" for j in range(k))
     last_min = " ".join(f"WHEN rows[p + {j}].h = least({inside}) THEN p + {j}" for j in reversed(range(k)))
-    window = f"""transform(sequence(0, size(rows) - {k}), p -> named_struct('p', p, 'f', least({inside}), 'anchor', CASE {last_min} END,
-        'run', xxhash64({inside}), 'check', hash({inside}), 'lines', transform(slice(rows, p + 1, {k}), r -> r.i)))"""
-    alone = f"""transform(filter(transform(rows, (r, p) -> named_struct('p', p, 'r', r)), q -> q.r.w >= {LONG_WORDS}), q -> named_struct('p', q.p, 'f', q.r.h, 'anchor', q.p,
-        'run', xxhash64(q.r.h), 'check', hash(q.r.h), 'lines', array(q.r.i)))"""
-    runs = hashed.selectExpr(DOC, KEY, f"explode(CASE WHEN size(rows) >= {k} THEN concat({window}, {alone}) ELSE {alone} END) AS r")
-    return runs.select(DOC, KEY, "r.*")
+    # The smallest line of each window, by the window's first line; lines without a word are not among the rows.
+    minima = f"CASE WHEN size(rows) >= {k} THEN transform(sequence(0, size(rows) - {k}), p -> CASE {last_min} END) ELSE CAST(array() AS array<int>) END"
+    long = f"filter(transform(rows, (r, p) -> CASE WHEN r.w >= {LONG_WORDS} THEN p END), p -> p IS NOT NULL)"
+    chosen = hashed.select("*", F.expr(minima).alias("minima")).select("*", F.expr(f"explode(array_union(minima, {long}))").alias("at"))
+    window = f"named_struct('p', p, 'run', xxhash64({inside}), 'check', hash({inside}), 'lines', transform(slice(rows, p + 1, {k}), r -> r.i))"
+    over = f"transform(filter(sequence(greatest(at - {k - 1}, 0), at), p -> p < size(minima) AND minima[p] = at), p -> {window})"
+    alone = "named_struct('p', at, 'run', xxhash64(rows[at].h), 'check', hash(rows[at].h), 'lines', array(rows[at].i))"
+    return chosen.selectExpr(DOC, KEY, "at", "rows[at].h AS f", f"CASE WHEN rows[at].w >= {LONG_WORDS} THEN array_append({over}, {alone}) ELSE {over} END AS windows")
 
 
 def lost_lines(docs: DataFrame) -> DataFrame:
-    """The numbers of the lines that each document loses, ``gone``; documents that lose none are left out."""
-    runs = candidate_runs(docs)
-    place = F.struct(DOC, KEY, "anchor")
-    shared = runs.groupBy("f").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b").select("f")
-    matched = runs.join(shared, "f", "left_semi").drop("f", "anchor")
-    first = matched.groupBy("run", "check").agg(F.min(F.struct(DOC, KEY, "p")).alias("first"))
+    """The numbers of the lines that each document loses, ``gone``; documents that lose none are left out.
+
+    Tables are stored before they are joined: a join then reads plain exchanges, and
+    Spark splits the partition of a fingerprint or run that very many places have.
+    """
+    chosen = stored(fingerprints(docs), "lines-fingerprints")
+    place = F.struct(DOC, KEY, "at")
+    shared = stored(chosen.groupBy("f").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b").select("f"), "lines-shared")
+    matched = stored(chosen.join(shared, "f", "left_semi").select(DOC, KEY, F.explode("windows").alias("w")).select(DOC, KEY, "w.*"), "lines-runs")
+    place = F.struct(DOC, KEY, "p")
+    first = stored(matched.groupBy("run", "check").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").drop("last"), "lines-first")
     later = matched.join(first, ["run", "check"]).where(F.struct(DOC, KEY, "p") > F.col("first"))
     return later.groupBy(DOC, KEY).agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("gone"))
 

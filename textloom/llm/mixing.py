@@ -1,14 +1,23 @@
 """Mixing sources to target weights.
 
 Each source's documents stand on one axis of words, in a fixed pseudorandom
-order, which is cut into blocks of ``block_words``.  Every output shard has
-``SHARD_SLOTS`` slots; how many of them each source fills is one multinomial
-draw, made by systematic resampling (one uniform number per shard), so a
-source's count is within one of its expectation and the totals stay close to
-the targets.  The slots of a source are numbered over all shards; slot ``q``
-is in pass ``q // blocks`` and takes the block that a keyed permutation of
-the source's block numbers (swap-or-not rounds, one key per source and pass)
-gives for ``q % blocks``.  Slots and blocks meet in one equi-join.
+order, which is cut into blocks of one length.  The length is a power of two up
+to ``MOST_WORDS`` that leaves a source at least ``LEAST_BLOCKS`` blocks where
+it can, so small sources meet their targets as closely as large ones.
+
+The mix has as many slots of a source as its target needs blocks: those of its
+whole passes, and of the last pass in proportion.  All slots of the mix are put
+in one pseudorandom order, and every ``SHARD_SLOTS`` of them make an output
+shard, so a shard's counts of sources are a multinomial draw, given that the
+draws of all shards add up to the targets.  (Independent draws would miss a
+source's target by one over the square root of its slots.)
+
+Slot ``q`` of a source is in pass ``q // blocks`` and takes the block that a
+keyed permutation of the source's block numbers (swap-or-not rounds, one set of
+keys per source and pass) gives for ``q % blocks``.  Slots and blocks meet in
+one equi-join on source and block.  Slots are made in chunks that are dealt to
+all tasks, and positions on the axis are sums over three levels of buckets, so
+one source may hold all words.
 
 A pass takes every block once and no source gets more than three passes, so
 no document is taken more than three times its size.  Everything derives from
@@ -22,8 +31,6 @@ other columns are ignored.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,54 +39,41 @@ from .common import n_words, stored
 SHARD_SLOTS = 1024
 ROUNDS = 12
 MAX_PASSES = 3
-#: Rows of a source that one task sorts, on average.
-BUCKET_ROWS = 1_000
-M31 = 2147483647
-
-
-@dataclass(frozen=True)
-class Dialect:
-    """What Spark and the checking engine spell differently."""
+MOST_WORDS, LEAST_BLOCKS = 2048, 4096
+#: Slots that a row of the table of chunks stands for.
+CHUNK_SLOTS = 1024
+#: Rows that one task sorts on average, and sorted buckets that one task adds up.
+BUCKET_ROWS, SUM_BUCKETS = 1_000, 1_000
+KEY_RANGE = 1 << 32
 
-    shift: str
-    xor: str
-    each: str
-    fold: str
 
-    def mix(self, v: str) -> str:
-        """A 32-bit hash of an expression with values in 0..2**31-1."""
-        for times, by in ((2654435761, 15), (2246822519, 13)):
-            v = f"((({v}) % 2147483648) * {times} % 4294967296)"
-            v = self.xor.format(v, self.shift.format(v, by))
-        return v
+def number(text: str) -> str:
+    """A number below 2**32 from a text expression."""
+    return f"CAST(conv(substr(md5({text}), 1, 8), 16, 10) AS BIGINT)"
 
 
-SPARK = Dialect("shiftright({}, {})", "({} ^ {})", "transform(sequence(0, {}), r -> {})", "aggregate({}, x, (x, k) -> {})")
+def order_key() -> str:
+    """Where a document stands among those of its source."""
+    return number("concat(coalesce(CAST(doc_id AS STRING), ''), ':', coalesce(text, ''))")
 
 
-def block_words(total: int) -> int:
-    """About 65,536 slots for small tables, blocks of 2,048 words beyond 134 million words."""
-    return 1 << min(11, max(4, (total // 65536).bit_length() - 1))
+def round_keys(name: str) -> str:
+    """The keys of a permutation that an expression names."""
+    return f"transform(sequence(1, {ROUNDS}), r -> {number(f'concat({name}, {chr(39)}:{chr(39)}, r)')})"
 
 
-def order_key(doc_id: str = "doc_id") -> str:
-    return f"((coalesce({doc_id}, 0) % {M31} + {M31}) % {M31} * 48271 % {M31})"
-
-
-def permuted(d: Dialect, blocks: str = "blocks") -> str:
-    """Where the permutation of source ``sidx`` and pass ``pass`` puts ``x``.
+def permuted(x: str, n: str, keys: str) -> str:
+    """Where the permutation of 0..n-1 with the keys puts x.
 
     A swap-or-not round pairs each position with its mirror image around a key and
-    swaps the pair or not by a bit of a hash that both have in common.
+    swaps the pair or not by a hash that both have in common.
     """
-    keys = d.each.format(ROUNDS - 1, d.mix("sidx * 7919 + pass * 104729 + r * 1299709"))
-    mirror = f"((k % {blocks} - x + {blocks}) % {blocks})"
-    swap = d.shift.format(d.mix(f"greatest(x, {mirror}) + k"), 7)
-    return d.fold.format(keys, f"CASE WHEN {swap} % 2 = 1 THEN {mirror} ELSE x END")
+    mirror = f"(k % {n} - x + {n}) % {n}"
+    return f"aggregate({keys}, {x}, (x, k) -> transform(array({mirror}), m -> CASE WHEN md5(concat(greatest(x, m), ':', k)) >= '8' THEN m ELSE x END)[0])"
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
-    """``source, sidx, source_size, target, lo, hi`` per source; sidx counts sources by code point, null last.
+    """``source, sidx, source_size, target`` per source; sidx counts sources by code point, null last.
 
     Caps are filled in the order of cap by weight: a source is full exactly if its cap is
     at most its weight's share of what the fuller sources before it leave.
@@ -94,51 +88,58 @@ def source_targets(sizes: DataFrame) -> DataFrame:
         "sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / CAST(weight AS DOUBLE), sidx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS open_words",
     ).selectExpr("*", "CAST(open_words AS DOUBLE) / open_weight AS level")
     first_open = "min(CASE WHEN cap > weight * level THEN struct(cap / CAST(weight AS DOUBLE) AS r, sidx, level) END) OVER ()"
-    targets = filled.selectExpr("*", f"{first_open} AS f").selectExpr(
-        "source", "sidx", "source_size", "total", "CAST(CASE WHEN f IS NULL OR struct(cap / CAST(weight AS DOUBLE) AS r, sidx) < struct(f.r, f.sidx) THEN cap ELSE weight * f.level END AS DOUBLE) AS target"
-    )
-    shared = "coalesce(try_divide({}, CAST(total AS DOUBLE)), 0D)"
-    return targets.selectExpr("*", f"{shared.format('sum(target) OVER (ORDER BY sidx)')} AS hi_raw").selectExpr(
-        "source", "sidx", "source_size", "target", "coalesce(lag(hi_raw) OVER (ORDER BY sidx), 0D) AS lo", "CASE WHEN lead(sidx) OVER (ORDER BY sidx) IS NULL THEN 1D ELSE hi_raw END AS hi"
+    return filled.selectExpr("*", f"{first_open} AS f").selectExpr(
+        "source", "sidx", "source_size", "CAST(CASE WHEN f IS NULL OR struct(cap / CAST(weight AS DOUBLE) AS r, sidx) < struct(f.r, f.sidx) THEN cap ELSE weight * f.level END AS DOUBLE) AS target"
     )
 
 
-def draw_slots(spark, sources: DataFrame, slots: int, words: int) -> DataFrame:
-    """``shard, sidx, q, pass, block`` of every slot of the mix."""
-    shards = spark.range((slots + SHARD_SLOTS - 1) // SHARD_SLOTS).selectExpr("id AS shard", f"least({SHARD_SLOTS}, {slots} - id * {SHARD_SLOTS}) AS m", f"{SPARK.mix('id + 12345')} / 4294967296D AS xi", "id - id AS one")
-    listed = sources.where("source_size > 0").agg(F.array_sort(F.collect_list(F.struct("sidx", "lo", "hi", F.expr(f"CAST(ceil(source_size / {words}D) AS BIGINT)").alias("blocks")))).alias("list"), F.min(F.col("sidx") - F.col("sidx")).alias("one"))
-    drawn = (
-        shards.join(F.broadcast(listed), "one")  # one row: the list of sources
-        .selectExpr("shard", "m", "xi", "explode(list) AS s")
-        .selectExpr("shard", "s.sidx AS sidx", "s.blocks AS blocks", "CAST(ceil(s.hi * m - xi) - ceil(s.lo * m - xi) AS BIGINT) AS n")
-        .where("n > 0")
-        .selectExpr("shard", "sidx", "blocks", "n", "sum(n) OVER (PARTITION BY sidx ORDER BY shard) - n AS from_q")
-    )
-    x = drawn.selectExpr("shard", "sidx", "blocks", "explode(sequence(from_q, from_q + n - 1)) AS q").where(f"q < {MAX_PASSES} * blocks").selectExpr("*", "q DIV blocks AS pass", "q % blocks AS x")
-    return x.selectExpr("shard", "sidx", "q", "pass", f"{permuted(SPARK)} AS block")
+def with_blocks(targets: DataFrame) -> DataFrame:
+    """Adds ``words`` (of a block), ``blocks``, ``slots``, and the mix's slots ``before`` those of the source and in ``every`` source."""
+    lengths = ", ".join(str(1 << k) for k in range(MOST_WORDS.bit_length()))
+    sized = targets.selectExpr("*", f"CAST(array_max(filter(array({lengths}), w -> w = 1 OR w * {LEAST_BLOCKS}L <= source_size)) AS BIGINT) AS words")
+    cut = sized.selectExpr("*", "(source_size + words - 1) DIV words AS blocks", "coalesce(CAST(floor(try_divide(target, source_size)) AS BIGINT), 0L) AS passes")
+    rest = "CAST(floor(coalesce(try_divide(target - passes * source_size, source_size), 0D) * blocks + 0.5D) AS BIGINT)"
+    filled = cut.selectExpr("*", f"least({MAX_PASSES} * blocks, passes * blocks + {rest}) AS slots").drop("passes")
+    return filled.selectExpr("*", "coalesce(sum(slots) OVER (ORDER BY sidx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) AS before", "sum(slots) OVER () AS every")
+
+
+def draw_slots(sources: DataFrame) -> DataFrame:
+    """``shard, place, sidx, q, pass, block`` of every slot of the mix: block ``block`` of source ``sidx`` is number ``place`` of the shard."""
+    # By number, as Spark would join the few and small rows of chunks to one partition.
+    tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = sources.where("slots > 0").selectExpr("sidx", "blocks", "slots", "before", "every", f"explode(sequence(0L, (slots - 1) DIV {CHUNK_SLOTS})) AS chunk").repartition(tasks, "sidx", "chunk")
+    of_pass = round_keys("concat(sidx, ':', pass)")
+    keyed = chunks.selectExpr("*", f"transform(sequence(0, {MAX_PASSES - 1}), pass -> {of_pass}) AS keys", f"{round_keys(chr(39) + 'all' + chr(39))} AS all_keys")
+    slots = keyed.selectExpr("sidx", "blocks", "before", "every", "keys", "all_keys", f"explode(sequence(chunk * {CHUNK_SLOTS}, least(slots, (chunk + 1) * {CHUNK_SLOTS}) - 1)) AS q")
+    drawn = slots.selectExpr("sidx", "q", "q DIV blocks AS pass", f"{permuted('q % blocks', 'blocks', 'keys[CAST(q DIV blocks AS INT)]')} AS block", f"{permuted('before + q', 'every', 'all_keys')} AS at")
+    return drawn.selectExpr(f"at DIV {SHARD_SLOTS} AS shard", f"at % {SHARD_SLOTS} AS place", "sidx", "q", "pass", "block")
+
+
+def place_documents(sizes: DataFrame, rows: int) -> DataFrame:
+    """Adds ``start``, each document's place on its source's axis of words."""
+    width = KEY_RANGE // max(1, rows // BUCKET_ROWS) + 1
+    named = sizes.selectExpr("*", f"b DIV {width} AS bucket").selectExpr("*", f"bucket DIV {SUM_BUCKETS} AS zone")
+    in_bucket = stored(named.groupBy("sidx", "zone", "bucket").agg(F.sum("size").alias("n")), "mix-buckets", small=True)
+    zones = in_bucket.groupBy("sidx", "zone").agg(F.sum("n").alias("n")).selectExpr("sidx", "zone", "sum(n) OVER (PARTITION BY sidx ORDER BY zone) - n AS before_zone")
+    buckets = in_bucket.selectExpr("*", "sum(n) OVER (PARTITION BY sidx, zone ORDER BY bucket) - n AS before_bucket").join(zones, ["sidx", "zone"]).selectExpr("sidx", "bucket", "before_zone + before_bucket AS before")
+    inside = named.selectExpr("*", "sum(size) OVER (PARTITION BY sidx, bucket ORDER BY b, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS inside")
+    return inside.join(buckets, ["sidx", "bucket"]).selectExpr("*", "before + inside AS start").drop("bucket", "zone", "before", "inside")
 
 
 def mix_sources(docs: DataFrame) -> DataFrame:
-    """One row per document: ``doc_id, size, source_size, target, taken, source``."""
-    spark = docs.sparkSession
-    sizes = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", n_words("text").alias("size")).selectExpr("*", f"{order_key()} AS b"), "mix-sizes")
-    rows, total = sizes.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    words = block_words(total)
-    slots = -(-total // words)
-    width = M31 // max(1, rows // BUCKET_ROWS) + 1
-
-    sources = stored(source_targets(sizes), "mix-sources", small=True)
-    named = sizes.join(sources.select("source", "sidx", "source_size", "target"), sizes.source.eqNullSafe(sources.source)).drop(sources.source).selectExpr("*", f"b DIV {width} AS bucket")
-    before = named.groupBy("sidx", "bucket").agg(F.sum("size").alias("in_bucket")).selectExpr("sidx", "bucket", "sum(in_bucket) OVER (PARTITION BY sidx ORDER BY bucket) - in_bucket AS before")
-    placed = named.where("size > 0").selectExpr("*", "sum(size) OVER (PARTITION BY sidx, bucket ORDER BY b, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS inside").join(before, ["sidx", "bucket"]).selectExpr("*", "before + inside AS start")
-
-    taken = draw_slots(spark, sources, slots, words).groupBy("sidx", "block").agg(F.count("*").alias("times"))
-    pieces = placed.selectExpr("*", f"explode(sequence(start DIV {words}, (start + size - 1) DIV {words})) AS block").selectExpr("*", f"least(start + size, (block + 1) * {words}) - greatest(start, block * {words}) AS part")
+    """One row per document: ``doc_id, size, source_size, target, taken, shards, source``; shards: how many take a part of it."""
+    sizes = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", n_words("text").alias("size"), F.expr(order_key()).alias("b")), "mix-sizes")
+    sources = stored(with_blocks(source_targets(sizes)), "mix-sources", small=True)
+    named = sizes.join(sources.select(F.col("source").alias("of"), "sidx", "source_size", "target", "words"), F.expr("source <=> of")).drop("of")
+    placed = place_documents(named.where("size > 0"), sizes.count())
+
+    taken = draw_slots(sources).groupBy("sidx", "block").agg(F.count("*").alias("times"), F.collect_list("shard").alias("shard_list"))
+    pieces = placed.selectExpr("*", "explode(sequence(start DIV words, (start + size - 1) DIV words)) AS block").selectExpr("*", "least(start + size, (block + 1) * words) - greatest(start, block * words) AS part")
     out = ["doc_id", "size", "source_size", "target"]
     full = (
         pieces.join(taken, ["sidx", "block"], "left")
         .groupBy(*out, "source", "sidx", "start")
-        .agg(F.sum(F.col("part") * F.coalesce("times", F.lit(0))).alias("taken"))
-        .select(*out, "taken", "source")
+        .agg(F.sum(F.col("part") * F.coalesce("times", F.lit(0))).alias("taken"), F.size(F.array_distinct(F.flatten(F.collect_list("shard_list")))).cast("long").alias("shards"))
+        .select(*out, "taken", "shards", "source")
     )
-    return full.unionByName(named.where("size = 0").select(*out, F.lit(0).cast("long").alias("taken"), "source"))
+    return full.unionByName(named.where("size = 0").select(*out, F.lit(0).cast("long").alias("taken"), F.lit(0).cast("long").alias("shards"), "source"))

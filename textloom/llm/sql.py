@@ -1,7 +1,6 @@
 """DuckDB SQL for the queries that SQL can express, by query name."""
 
 from .line_dedup import LONG_WORDS
-from .mixing import MAX_PASSES, SHARD_SLOTS, Dialect, order_key, permuted
 from .quality_rules import NOTICES
 
 op1_quality_rules = rf"""
@@ -148,45 +147,46 @@ SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
-DUCK = Dialect("({} >> {})", "xor({}, {})", "list_transform(range(0, {} + 1), lambda r: {})", "list_reduce({}, lambda x, k: {}, x)")
-
-op2_mixing = rf"""
+op2_mixing = r"""
 WITH d AS (
-  SELECT row_number() OVER () AS rid, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, {order_key()} AS b FROM documents
+  SELECT row_number() OVER () AS rid, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         ('0x' || md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, ''))[1:8])::BIGINT AS b
+  FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sidx FROM d GROUP BY source
-), w AS (SELECT *, sidx % 3 + 1 AS weight, {MAX_PASSES} * source_size AS cap, sum(source_size) OVER () AS total FROM s
+), w AS (SELECT *, sidx % 3 + 1 AS weight, 3 * source_size AS cap, sum(source_size) OVER () AS total FROM s
 ), v AS (
   SELECT *, cap / weight AS ratio,
          (total - coalesce(sum(cap) OVER o, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0)) AS level
   FROM w WINDOW o AS (ORDER BY cap / weight, sidx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), f AS (SELECT ratio AS r, sidx AS i, level AS l FROM v WHERE cap > weight * level ORDER BY ratio, sidx LIMIT 1
 ), t AS (
-  SELECT v.*, CASE WHEN f.r IS NULL OR (ratio, sidx) < (f.r, f.i) THEN cap ELSE weight * f.l END::DOUBLE AS target FROM v LEFT JOIN f ON true
-), h AS (SELECT *, coalesce(sum(target) OVER (ORDER BY sidx) / nullif(total, 0)::DOUBLE, 0) AS hi_raw FROM t
+  SELECT v.*, CASE WHEN f.r IS NULL OR (ratio, sidx) < (f.r, f.i) THEN cap ELSE weight * f.l END::DOUBLE AS target,
+         CASE WHEN source_size >= 8388608 THEN 2048 WHEN source_size < 8192 THEN 1
+              ELSE list_max(list_filter([2, 4, 8, 16, 32, 64, 128, 256, 512, 1024], lambda x: x * 4096 <= source_size)) END::BIGINT AS words
+  FROM v LEFT JOIN f ON true
 ), u AS (
-  SELECT *, coalesce(lag(hi_raw) OVER (ORDER BY sidx), 0) AS lo, CASE WHEN lead(sidx) OVER (ORDER BY sidx) IS NULL THEN 1 ELSE hi_raw END AS hi FROM h
-), p AS (
-  SELECT coalesce(max(total), 0)::BIGINT AS total,
-         (1 << least(11, greatest(4, CASE WHEN max(total) >= 65536 THEN floor(log2(max(total) // 65536))::INT ELSE 0 END)))::BIGINT AS words FROM w
-), q AS (SELECT *, (total + words - 1) // words AS slots FROM p
-), shards AS (
-  SELECT shard, least({SHARD_SLOTS}, slots - shard * {SHARD_SLOTS}) AS m, {DUCK.mix("shard + 12345")} / 4294967296.0::DOUBLE AS xi, words
-  FROM (SELECT unnest(range(0, (slots + {SHARD_SLOTS - 1}) // {SHARD_SLOTS})) AS shard, slots, words FROM q)
+  SELECT *, (source_size + words - 1) // words AS blocks, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS passes FROM t
 ), n AS (
-  SELECT shard, sidx, ((source_size + words - 1) // words)::BIGINT AS blocks, (ceil(hi * m - xi) - ceil(lo * m - xi))::BIGINT AS n
-  FROM shards, u WHERE source_size > 0
-), a AS (SELECT *, (sum(n) OVER (PARTITION BY sidx ORDER BY shard) - n)::BIGINT AS from_q FROM n WHERE n > 0
+  SELECT *, CASE WHEN source_size > 0 THEN least(3 * blocks, passes * blocks + floor((target - passes * source_size) / source_size * blocks + 0.5)::BIGINT) ELSE 0 END AS slots FROM u
+), o AS (
+  SELECT *, coalesce(sum(slots) OVER (ORDER BY sidx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first, sum(slots) OVER ()::BIGINT AS n_all FROM n
+), k AS (
+  SELECT name, list(('0x' || md5(name || ':' || r)[1:8])::BIGINT ORDER BY r) AS keys
+  FROM (SELECT unnest(range(1, 13)) AS r, name FROM (SELECT 'all' AS name UNION ALL SELECT sidx || ':' || p FROM o, (VALUES (0), (1), (2)) AS passes(p))) GROUP BY name
+), q AS (SELECT sidx, blocks, first, n_all, unnest(range(0, slots::BIGINT)) AS q FROM o
 ), x AS (
-  SELECT sidx, blocks, q, q // blocks AS pass, q % blocks AS x FROM (SELECT sidx, blocks, unnest(range(from_q, from_q + n)) AS q FROM a) WHERE q < {MAX_PASSES} * blocks
-), times AS (SELECT sidx, block, count(*) AS times FROM (SELECT sidx, {permuted(DUCK)} AS block FROM x) GROUP BY ALL
+  SELECT q.sidx,
+         list_reduce(own.keys, lambda x, k: CASE WHEN md5(greatest(x, (k % blocks - x + blocks) % blocks) || ':' || k) >= '8' THEN (k % blocks - x + blocks) % blocks ELSE x END, q % blocks) AS block,
+         list_reduce(everyone.keys, lambda x, k: CASE WHEN md5(greatest(x, (k % n_all - x + n_all) % n_all) || ':' || k) >= '8' THEN (k % n_all - x + n_all) % n_all ELSE x END, first + q) // 1024 AS shard
+  FROM q JOIN k own ON own.name = q.sidx || ':' || (q // blocks) JOIN k everyone ON everyone.name = 'all'
 ), placed AS (
-  SELECT d.*, u.sidx, words, sum(size) OVER (PARTITION BY u.sidx ORDER BY b, doc_id, size, rid ROWS UNBOUNDED PRECEDING) - size AS start
-  FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source, p WHERE size > 0
+  SELECT d.*, o.sidx, words, sum(size) OVER (PARTITION BY o.sidx ORDER BY b, doc_id, size, rid ROWS UNBOUNDED PRECEDING) - size AS start
+  FROM d JOIN o ON d.source IS NOT DISTINCT FROM o.source WHERE size > 0
 ), pieces AS (
   SELECT rid, sidx, block, least(start + size, (block + 1) * words) - greatest(start, block * words) AS part
   FROM (SELECT *, unnest(range((start // words)::BIGINT, ((start + size - 1) // words)::BIGINT + 1)) AS block FROM placed)
-), taken AS (SELECT rid, sum(part * times)::BIGINT AS taken FROM pieces JOIN times USING (sidx, block) GROUP BY rid)
-SELECT d.doc_id, size::BIGINT AS size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, d.source
-FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source LEFT JOIN taken USING (rid)
+), taken AS (SELECT rid, sum(part)::BIGINT AS taken, count(DISTINCT shard) AS shards FROM pieces JOIN x USING (sidx, block) GROUP BY rid)
+SELECT d.doc_id, size::BIGINT AS size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, coalesce(shards, 0)::BIGINT AS shards, d.source
+FROM d JOIN o ON d.source IS NOT DISTINCT FROM o.source LEFT JOIN taken USING (rid)
 """
