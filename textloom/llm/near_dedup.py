@@ -15,14 +15,14 @@ Bands of the signature are buckets.  A bucket is not expanded to pairs: its
 members are compared with one centre, the member whose buckets are largest in
 total, and links are confirmed on the full sets.  Union-find over the links
 gives components.  Where a bucket still holds more than one component, its
-members of different components are compared too, unless their differences
-from a common core rule a link out, so nothing that a bucket suggests is left
-open.
+members of different components are compared too, where what they have in
+common in their differences from a core allows a link, so nothing that a bucket
+suggests is left open, and no bucket is expanded to pairs.
 
 Defined results: null, empty and wordless texts have an empty set, are linked
 with nothing and stand alone; rows with equal doc_id and text are one document
-with equal results; rows without doc_id get a null component and stay; an
-empty table gives an empty result; other columns are ignored.
+with equal results; different texts under one doc_id are documents of their
+own; rows without doc_id get a null component and stay; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -47,6 +47,10 @@ BAND_SLOTS = 4
 MISSED = 1e-5
 #: Members of a centre whose majority makes its core.
 CORE_MEMBERS = 15
+#: Members meet at subsets of up to so many shingles, taken from no more than so many.
+LEVELS, MOST_ITEMS = 4, 12
+#: Members at the keys are compared with one of them first if there are so many pairs for each.
+STAR_FIRST = 8
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -95,7 +99,7 @@ def superminhash(sets: np.ndarray, counts: np.ndarray, slots: int = SLOTS) -> np
 
 
 def signatures(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """``doc_id, n_shingles, d1, d2`` (a digest of the set) and the ``bands`` of each document."""
+    """``doc_id, tkey`` (a hash of the text), ``n_shingles, d1, d2`` (a digest of the set) and the ``bands`` of each document."""
     n_bands = bands_for(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,9 +114,10 @@ def signatures(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
                 for r in range(values.shape[2]):
                     bands = K.mix(bands * np.uint64(0x9E3779B97F4A7C15) + values[:, :, r] + np.uint64(r))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * n_bands), pa.array(bands.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(counts), *map(pa.array, digests), lists], names=["doc_id", "n_shingles", "d1", "d2", "bands"])
+                keys = [batch.column(c).slice(a, b - a) for c in ("doc_id", "tkey")]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(counts), *map(pa.array, digests), lists], names=["doc_id", "tkey", "n_shingles", "d1", "d2", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tkey"), "text").mapInArrow(run, "doc_id long, tkey long, n_shingles long, d1 long, d2 long, bands array<long>")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -199,96 +204,158 @@ def _cores(samples: DataFrame, shingle: int) -> DataFrame:
 
 
 def _differences(members: DataFrame, shingle: int) -> DataFrame:
-    """``a, node, label, core, missing, extra``: how a member's set differs from its centre's core."""
+    """``a, node, label, own, diff``: the size of a member's set, and the shingles that it or its centre's core has alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cores, missing, extra = batch.column("core"), [], []
+            cores, owns, diffs = batch.column("core"), [], []
             for i, j, data, bounds in K.slices(batch.column("text")):
                 sets, counts = shingle_sets(data, bounds, shingle)
                 ends = np.concatenate([[0], np.cumsum(counts)])
                 for k in range(i, j):
                     own, core = sets[ends[k - i] : ends[k - i + 1]], np.sort(cores[k].values.to_numpy().view(np.uint64))
-                    both = K.in_sorted(own, core)
-                    missing.append(len(core) - int(both.sum()))
-                    extra.append(own[~both].view(np.int64))
-            sizes = pa.array([len(x) for x in cores], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "node", "label")), sizes, pa.array(missing, pa.int64()), pa.array(extra, pa.list_(pa.int64()))], names=["a", "node", "label", "core", "missing", "extra"])
-
-    return members.select("a", "node", "label", "core", "text").mapInArrow(run, "a long, node long, label long, core long, missing long, extra array<long>")
-
-
-def open_pairs(shared: DataFrame, centers: DataFrame, labels: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """``a, b`` (a < b): all pairs of different components that share a bucket and may be similar enough.
+                    owns.append(len(own))
+                    diffs.append(np.concatenate([own[~K.in_sorted(own, core)], core[~K.in_sorted(core, own)]]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "node", "label")), pa.array(owns, pa.int64()), pa.array(diffs, pa.list_(pa.int64()))], names=["a", "node", "label", "own", "diff"])
+
+    return members.select("a", "node", "label", "core", "text").mapInArrow(run, "a long, node long, label long, own long, diff array<long>")
+
+
+def _subsets(items: str, k: int) -> str:
+    """An expression for the hashes of all k items of an array of distinct numbers."""
+    names = [f"i{n}" for n in range(k)]
+    out = f"array(xxhash64({', '.join(f'{items}[{x}]' for x in names)}))"
+    for n in reversed(range(k)):
+        after = f"x -> x > {names[n - 1]}" if n else "x -> true"
+        out = f"flatten(transform(filter(sequence(0, size({items}) - 1), {after}), {names[n]} -> {out}))"
+    return out
+
+
+def _meeting_places(described: DataFrame, percent: int) -> DataFrame:
+    """``a, k, key, node, label, slack, d, level``: keys of which two members that may be similar enough share one.
+
+    With d shingles of difference to the core, o of them in common, and slack =
+    (100 - percent) * own - (100 + percent) * d, two sets are similar enough exactly
+    if slack + slack + 2 * (100 + percent) * o >= 0.  So each member has to share at
+    least ``base`` of its differences with any partner, and two members at least as
+    many as the one with more slack needs for its like (``own_need``).  Sets that
+    share o items share k of the d - o + k rarest ones of either (prefix filtering), so
+    the subsets of k of these are keys; k is the smaller one of two members' levels.
+    A subset of the needed size is common among similar members alone.
+    """
+    both = 2 * (100 + percent)
+    outside = described.select("a", "node", "label", F.explode("diff").alias("s"))
+    common = stored(outside.groupBy("a", "s").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where("x != y").select("a", "s", "n"), "near-common", small=True)
+    rarest = outside.join(common, ["a", "s"]).groupBy("a", "node").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "s"))), lambda x: x["s"]).alias("items"))
+    best = described.groupBy("a").agg(F.max("slack").alias("best"))
+    needs = described.select("a", "node", "label", "slack", F.size("diff").cast("long").alias("d")).join(rarest, ["a", "node"]).join(best, "a")
+    needs = needs.selectExpr("*", f"greatest(1L, CAST(ceil(-(slack + best) / {both}D) AS BIGINT)) AS base", f"greatest(1L, CAST(ceil(-slack / {both // 2}D) AS BIGINT)) AS own_need")
+    width = lambda k: f"least(size(items), size(items) - greatest({k}, base) + {k})"
+    allowed = " + ".join(f"CAST(own_need >= {k} AND {width(k)} BETWEEN {k} AND {MOST_ITEMS} AS INT)" for k in range(2, LEVELS + 1))
+    levelled = needs.selectExpr("*", f"1 + {allowed} AS level")
+    keys = ", ".join(f"CASE WHEN level >= {k} AND {width(k)} >= {k} THEN transform({_subsets('p', k)}, h -> named_struct('k', {k}, 'key', h)) ELSE CAST(array() AS array<struct<k: int, key: bigint>>) END".replace("p[", f"p{k}[").replace("size(p)", f"size(p{k})") for k in range(1, LEVELS + 1))
+    prefixes = levelled.selectExpr("*", *(f"array_sort(slice(items, 1, CAST(greatest(0, {width(k)}) AS INT))) AS p{k}" for k in range(1, LEVELS + 1)))
+    return prefixes.selectExpr("a", "node", "label", "slack", "d", "level", f"explode(concat({keys})) AS place").selectExpr("a", "place.k AS k", "place.key AS key", "node", "label", "slack", "d", "level")
+
+
+def open_links(shared: DataFrame, centers: DataFrame, labels: DataFrame, texts: DataFrame, links: DataFrame, shingle: int, percent: int) -> DataFrame | None:
+    """``a, b``: links between members of different components that share a bucket, as many as join all components that links join.
 
     Pairs are not formed within buckets, where a large group of copies would give
-    its square.  The members of a centre are described by what they lack of a core
-    and what they have besides.  If two members have nothing besides in common,
-    their intersection is at most the core less what either lacks, so two numbers
-    each decide whether they can be similar; few combinations of numbers occur, and
-    only combinations that pass give pairs.  All other pairs share a shingle
-    outside the core and meet there, at one of the rarest.  Any core is right; a good one, from the
-    majority of a few members, leaves few pairs.
+    its square.  The members of a centre are described by their differences from a
+    core, and what two members' differences have in common tells exactly whether
+    they are similar enough.  Members that need nothing in common are linked with
+    the one that has most slack.  All others meet at keys that similar members
+    share.  Where many meet at one key, they are compared with one of them first,
+    and only those that this leaves in different components form pairs.
+    Any core is right; a good one, from the majority of a few members, leaves few keys.
     """
     named = shared.join(labels, "node", "left").select("band", "h", "node", F.coalesce("label", "node").alias("label"))
     split = named.groupBy("band", "h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("band", "h")
     members = stored(named.join(split, ["band", "h"]).join(centers.select("band", "h", "a"), ["band", "h"]).select("a", "node", "label").distinct(), "near-open", small=True)
+    if members.isEmpty():
+        return None
     few = members.selectExpr("a", "node", "row_number() OVER (PARTITION BY a ORDER BY xxhash64(node), node) AS r").where(f"r <= {CORE_MEMBERS}")
     cores = stored(_cores(few.join(texts, "node").groupBy("a").agg(F.collect_list("text").alias("texts")), shingle), "near-cores", small=True)
-    described = stored(_differences(members.join(texts, "node").join(cores, "a"), shingle), "near-differences", small=True)
-
-    numbers = ["core", "missing", F.size("extra").cast("long").alias("extra")]
-    fits = lambda shared: f"{100 + percent} * (core - greatest(m1, m2) + {shared}) >= {percent} * (2 * core - m1 - m2 + e1 + e2)"
-    outside = described.select("a", "node", "label", *numbers, F.explode("extra").alias("s"))
-    who = outside.groupBy("a", "s").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("who"))
-    # Of n shingles with e outside the core, a partner has at least e - x n of these, and so one of the rarest
-    # x n + 1, x being the share that may differ.  Shingles that the same members have (an edit makes several) meet once, by the first of them.
-    rarest = Window.partitionBy("a", "node").orderBy("n", "who", "s")
-    needed = F.greatest(F.lit(1), F.ceil((100 * F.col("extra") - (100 - percent) * (F.col("core") - F.col("missing") + F.col("extra"))) / 100))
-    placed = outside.join(who, ["a", "s"]).withColumn("place", F.row_number().over(rarest)).withColumn("before", F.lag(F.struct("n", "who")).over(rarest))
-    left = placed.where(F.col("place") <= F.col("extra") - needed + 1).where("x != y AND NOT (before <=> struct(n, who))")
-    sides = [left.select(F.col("a").alias("c"), "core", "s", F.col("node").alias(n), F.col("label").alias(f"label_{n}"), F.col("missing").alias(f"m{k}"), F.col("extra").alias(f"e{k}")) for k, n in ((1, "a"), (2, "b"))]
-    by_shingle = sides[0].join(sides[1], ["c", "core", "s"]).where(f"a < b AND label_a != label_b AND {fits('least(e1, e2)')}").select("a", "b")
-
-    kinds = described.select("a", *numbers, "node", "label")
-    kind = kinds.groupBy("a", "core", "missing", "extra").agg(F.min("label").alias("x"), F.max("label").alias("y"))
-    one, two = kind.toDF("c", "core", "m1", "e1", "x1", "y1"), kind.toDF("c", "core", "m2", "e2", "x2", "y2")
-    may = one.join(two, ["c", "core"]).where(f"least(x1, x2) != greatest(y1, y2) AND {fits(0)}").select("c", "m1", "e1", "m2", "e2")
-    sides = [kinds.select(F.col("a").alias("c"), F.col("missing").alias(f"m{k}"), F.col("extra").alias(f"e{k}"), F.col("node").alias(n), F.col("label").alias(f"label_{n}")) for k, n in ((1, "a"), (2, "b"))]
-    by_numbers = may.join(sides[0], ["c", "m1", "e1"]).join(sides[1], ["c", "m2", "e2"]).where("a < b AND label_a != label_b").select("a", "b")
-    return by_shingle.union(by_numbers).distinct()
+    slack = f"{100 - percent} * own - {100 + percent} * size(diff)"
+    described = stored(_differences(members.join(texts, "node").join(cores, "a"), shingle).selectExpr("*", f"{slack} AS slack"), "near-differences", small=True)
+
+    top = described.groupBy("a").agg(F.max(F.struct("slack", "node")).alias("top"))
+    sure = described.join(top, "a").where("slack + top.slack >= 0 AND node != top.node").select(F.col("top.node").alias("a"), F.col("node").alias("b"))
+
+    def tested(pairs: DataFrame) -> DataFrame:
+        of = lambda n: described.select(F.col("a").alias("c"), F.col("node").alias(n), F.col("slack").alias(f"slack_{n}"), F.col("diff").alias(f"diff_{n}"))
+        both = pairs.distinct().join(of("a"), ["c", "a"]).join(of("b"), ["c", "b"])
+        return both.where(f"slack_a + slack_b + {2 * (100 + percent)} * size(array_intersect(diff_a, diff_b)) >= 0").select("a", "b")
+
+    def live(rows: DataFrame) -> DataFrame:
+        """The keys at which pairs have to be formed, with how many members and the one with most slack."""
+        groups = rows.groupBy("a", "k", "key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max(F.col("level") == F.col("k")).alias("home"), F.count("*").alias("n"), F.max(F.struct("slack", "node")).alias("top"))
+        return stored(groups.where("x != y AND home").select("a", "k", "key", "n", F.col("top.node").alias("top")), "near-keys", small=True)
+
+    keyed = stored(_meeting_places(described, percent), "near-places", small=True)
+    keys = live(keyed)
+    pairs, rows = keys.agg(F.coalesce(F.sum(F.col("n").cast("double") * F.col("n")), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    found = [sure]
+    if pairs > STAR_FIRST * rows:
+        star = keyed.join(keys, ["a", "k", "key"]).where("node != top").select(F.col("a").alias("c"), F.least("node", "top").alias("a"), F.greatest("node", "top").alias("b"))
+        found = [stored(sure.union(tested(star)), "near-stars", small=True)]
+        now = components(links.union(found[0]))
+        keyed = keyed.drop("label").join(now, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        keys = live(keyed)
+    at = keyed.join(keys.select("a", "k", "key"), ["a", "k", "key"])
+    side = lambda n: at.select(F.col("a").alias("c"), "k", "key", F.col("node").alias(n), *(F.col(x).alias(f"{x}_{n}") for x in ("label", "slack", "d", "level")))
+    may = f"a < b AND label_a != label_b AND (level_a = k OR level_b = k) AND slack_a + slack_b + {2 * (100 + percent)} * least(d_a, d_b) >= 0"
+    found.append(tested(side("a").join(side("b"), ["c", "k", "key"]).where(may).select("c", "a", "b")))
+    return stored(found[0].union(found[1]), "near-more", small=True)
 
 
 def near_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept, class_id`` (the smallest doc_id with the same set)."""
+    return _grouped(docs, shingle, percent).drop("tkey")
+
+
+def _grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     sigs = stored(signatures(docs, shingle, percent), "near-signatures")
-    classes = sigs.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")).where("node IS NOT NULL")
+    grouped = sigs.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n_shingles").agg(F.min(F.struct("doc_id", "tkey")).alias("rep"), F.first("bands").alias("bands"))
+    # Numbered, as different texts can have one doc_id.
+    classes = stored(grouped.select(F.monotonically_increasing_id().alias("node"), "d1", "d2", "n_shingles", "rep.doc_id", "rep.tkey", "bands"), "near-classes")
     rows = classes.select("node", "n_shingles", F.posexplode("bands").alias("band", "h"))
-    sizes = rows.groupBy("band", "h").agg(F.count("*").alias("members")).where("members > 1")
+    sizes = stored(rows.groupBy("band", "h").agg(F.count("*").alias("members")).where("members > 1"), "near-sizes", small=True)
     shared = stored(rows.join(sizes, ["band", "h"]), "near-buckets")
 
     weight = shared.groupBy("node").agg(F.sum("members").alias("weight"))
     members = shared.join(weight, "node")
-    centers = members.groupBy("band", "h").agg(F.max(F.struct("weight", -F.col("node"), "n_shingles")).alias("c")).select("band", "h", F.expr("-c.col2").alias("a"), F.col("c.n_shingles").alias("n_a"))
+    centers = stored(members.groupBy("band", "h").agg(F.max(F.struct("weight", -F.col("node"), "n_shingles")).alias("c")).select("band", "h", F.expr("-c.col2").alias("a"), F.col("c.n_shingles").alias("n_a")), "near-centers", small=True)
     similar_size = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
     stars = shared.withColumnRenamed("n_shingles", "n_b").withColumnRenamed("node", "b").join(centers, ["band", "h"]).where("a != b").where(similar_size).select("a", "b").distinct()
 
-    wanted = shared.select(F.col("node").alias("doc_id")).distinct()
-    texts = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), "text"), "near-texts")
-    links = stored(confirmed(stars, texts, shingle, percent), "near-links")
+    wanted = shared.select("node").distinct().join(classes.select("node", F.col("doc_id").alias("__doc"), F.col("tkey").alias("__key")), "node")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("__doc"), F.xxhash64("text").alias("__key"), "text")
+    texts = stored(keyed.join(wanted, ["__doc", "__key"]).dropDuplicates(["__doc", "__key"]).select("node", "text"), "near-texts")
+    links = stored(confirmed(stars, texts, shingle, percent), "near-links", small=True)
     labels = components(links)
 
-    more = stored(confirmed(open_pairs(shared, centers, labels, texts, shingle, percent).join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), texts, shingle, percent), "near-more")
-    if not more.isEmpty():
+    more = open_links(shared, centers, labels, texts, links, shingle, percent)
+    if more is not None and not more.isEmpty():
         labels = components(links.union(more))
 
-    nodes = classes.select("d1", "d2", "n_shingles", "node").join(labels, "node", "left").select("d1", "d2", "n_shingles", "node", F.coalesce("label", "node").alias("component_id"))
-    out = sigs.join(nodes, ["d1", "d2", "n_shingles"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"), F.coalesce("node", "doc_id").alias("class_id"))
+    named = classes.select("d1", "d2", "n_shingles", "node", "doc_id").join(labels, "node", "left").select("d1", "d2", "n_shingles", F.col("doc_id").alias("class_id"), F.coalesce("label", "node").alias("label"))
+    least = named.groupBy("label").agg(F.min("class_id").alias("component_id"))
+    nodes = stored(named.join(least, "label").drop("label"), "near-nodes")
+    out = sigs.drop("bands").join(nodes, ["d1", "d2", "n_shingles"], "left")
+    own = lambda c: F.when(F.col("doc_id").isNotNull(), F.coalesce(c, "doc_id"))
+    return out.select("doc_id", "tkey", "n_shingles", own("component_id").alias("component_id"), F.coalesce(F.col("doc_id") == own("component_id"), F.lit(True)).alias("kept"), own("class_id").alias("class_id"))
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The documents without those that a smaller doc_id of their group stands for; equal doc_ids count once."""
-    gone = near_groups(docs, shingle, percent).where("NOT kept").select(F.col("doc_id").alias("__near_doc")).distinct()
-    left = docs.join(gone, docs["doc_id"] == gone["__near_doc"], "left_anti")
-    return left.where("doc_id IS NULL").unionByName(left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    """The documents without those that a smaller doc_id of their group stands for.
+
+    Equal rows (doc_id and text) count once; of different texts of one group under its
+    smallest doc_id all stay.
+    """
+    gone = _grouped(docs, shingle, percent).where("NOT kept").select(F.col("doc_id").alias("__near_doc"), F.col("tkey").alias("__near_key")).distinct()
+    keyed = docs.withColumn("__near_own", F.xxhash64("text"))
+    left = keyed.join(gone, F.expr("doc_id = __near_doc AND __near_own = __near_key"), "left_anti")
+    once = left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "__near_own"])
+    return left.where("doc_id IS NULL").unionByName(once).select(*docs.columns)
