@@ -48,7 +48,7 @@ MISSED = 1e-5
 #: Members of a centre whose majority makes its core.
 CORE_MEMBERS = 15
 #: Members meet at subsets of up to so many shingles, taken from no more than so many.
-LEVELS, MOST_ITEMS = 4, 12
+LEVELS, MOST_ITEMS = 4, 8
 #: Members at the keys are compared with one of them first if there are so many pairs for each.
 STAR_FIRST = 8
 

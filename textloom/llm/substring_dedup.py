@@ -260,12 +260,12 @@ def dedup_substrings(docs: DataFrame, finish: Callable = lambda kept: b" ".join(
 
     chunk = F.shiftright("uid", ROW_BITS).alias("chunk")
     keyed = texts.where("doc_id IS NOT NULL AND text IS NOT NULL").select("uid", "doc_id", F.md5("text").alias("digest"))
-    first = keyed.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first")
+    # Small sides are stored, so that joins read plain exchanges, whose large partitions Spark splits.
+    first = stored(keyed.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first"), "windows-digests")
     copies = by_chunk(keyed.join(first, "digest").where("doc_id > first").select("uid", chunk), "windows-copies")
 
     suspects = by_chunk(merged(sketches(texts, copies, bits)), "windows-cells")
     places = repeated_windows(texts, copies, suspects, bits)
-    # Stored, so that the join below reads plain exchanges, whose large partitions Spark splits.
     earliest = stored(places.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("k1", "k2", "first"), "windows-first")
     later = places.join(earliest, ["k1", "k2"]).where("doc_id > first")
     cut = by_chunk(later.groupBy("uid").agg(F.collect_list("at").alias("places")).select("uid", "places", chunk), "windows-places")

@@ -126,8 +126,9 @@ def write_archives(pages: DataFrame, path: str) -> DataFrame:
     """Writes the archives below ``path``; returns ``path, records`` of each, stored."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha1("html"))
     size = rows.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    firsts = rows.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    shared = rows.select("page_id", "digest").distinct().join(firsts, "digest").select(F.col("page_id").alias("of"), F.col("digest").alias("same"), "first", F.lit(True).alias("copied"))
+    # Stored, so that the join by digest reads plain exchanges, whose large partitions Spark splits.
+    firsts = stored(rows.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "warc-firsts", small=True)
+    shared = stored(rows.select("page_id", "digest").join(firsts, "digest").distinct().select(F.col("page_id").alias("of"), F.col("digest").alias("same"), "first", F.lit(True).alias("copied")), "warc-copies")
     dealt = _packed(rows).repartition(max(1, -(-size // (ARCHIVE_BYTES // 8))), "page_id", "digest")
     marked = dealt.join(shared, F.expr("page_id <=> of AND digest = same"), "left").select("page_id", "url", "packed", "digest", "first", "copied")
 
