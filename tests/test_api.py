@@ -78,3 +78,21 @@ def test_mining(spark):
     pages = spark.createDataFrame([("A", '<a href="B">B</a>'), ("B", ""), ("R", '<meta http-equiv="refresh" content="0;url=B">')], "url string, html string")
     log = spark.createDataFrame([("R", "3"), ("A", "1")], "article string, views string")
     assert sorted((r["url"], r["views"]) for r in mine(pages, log).collect()) == [("A", 1), ("B", 3)]
+
+
+def test_endpoints(spark, tmp_path):
+    pages = spark.createDataFrame([(0, "a", "<title>One</title><p>Red Köln hats, U.K. <b>running</b></p>"), (1, "b", "<script>red</script><p>blue cats</p>")], "doc_id long, url string, html string")
+    log = spark.createDataFrame([("red hat", 2), ("red cat", 1)], "query string, cnt long")
+    engine = SearchEngine.from_pages(pages, None, log, EngineConfig(stopwords_n=0, analyzer="full"))
+    assert [r["doc_id"] for r in engine.search([(1, "koln RUN hat"), (2, '"uk run"')]).collect()] == [0, 0]
+    assert engine.search([(1, "script")]).count() == 0
+    assert set(engine.prf_lines(SearchRequest("hats", results=1, terms=2)).split()) >= {"0.5"}
+    assert engine.document("a")[0] == 200 and engine.document("zz") == (302, "https://en.wikipedia.org/wiki/zz")
+    assert json.loads(engine.instant("red"))["results"] == [" hat", " cat"] and engine.known
+    assert engine.suggestion_latency(["red", "blue"]) > 0
+    assert engine.write_runs(["koln", "cats"], f"{tmp_path}/runs") > 0
+    assert corpus.run_files(spark, f"{tmp_path}/runs/*").count() == 2
+    engine.clicked(spark.createDataFrame([("s", None, "1", "go", 5)], corpus.CLICKS), f"{tmp_path}/clicks")
+    assert corpus.read_clicks(spark, f"{tmp_path}/clicks").first()["query"] == "ERROR"
+    doconly = SearchEngine.build(spark.createDataFrame([(0, "b a")], "doc_id long, text string"), config=EngineConfig(stopwords_n=0, indexer_type="inverted-doconly"))
+    assert doconly.search([(1, '"a b"')]).count() == 1

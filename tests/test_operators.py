@@ -93,6 +93,7 @@ def test_feedback(spark, small):
     got = feedback.expansion_terms(small, rank.search(small, terms, phrases, "cosine", 2), 2)
     assert rows(got, "term", "count", "prob") == [("cat", 3, 0.6), ("dog", 2, 0.4)]
     assert feedback.expand_query('"dog', [("cat", 0.6), ("do", 0.3), ("x", 0.01)]) == " dog cat"
+    assert feedback.expand_query('"Red" Hat', [("red", 0.5), ("hat", 0.3), ("cap", 0.2)]) == " red  hat cap"
     assert rows(feedback.expanded_search(spark, small, [(1, "dog")]), "doc_id") == [(1,)]  # dog cat on sat
     d = spark.createDataFrame([("a", "x", 0.5), ("a", "y", 0.5), ("b", "x", 1.0), ("c", "z", 1.0)], "query_id string, term string, prob double")
     sim = {(r["query_a"], r["query_b"]): r["similarity"] for r in feedback.bhattacharyya(d).collect()}
@@ -133,6 +134,14 @@ def test_graph_edges(spark):
     assert set(ranks) == set("ABCDEZ") and sum(ranks.values()) < 1
 
 
+def test_long_redirects(spark):
+    """A chain of any length is followed; a cycle and what leads to it are dropped; of two targets the smaller counts."""
+    moves = [(f"r{k}", f"r{k + 1}") for k in range(40)] + [("r0", "zzz"), ("x", "y"), ("y", "x"), ("w", "x")]
+    got = graph.close_redirects(spark.createDataFrame(moves, "url string, target string"))
+    assert rows(got, "url", "target") == sorted((f"r{k}", "r40") for k in range(40))
+    assert graph.close_redirects(spark.createDataFrame([], "url string, target string")).count() == 0
+
+
 def test_view_counts(spark):
     log = spark.createDataFrame([("A", "3"), ("A", "x"), ("R", "2"), ("Q", "9"), ("T", "4")], "article string, views string")
     corpus = spark.createDataFrame([("A",), ("B",), ("R",), ("T",), ("T2.html",)], "url string")
@@ -154,6 +163,21 @@ def test_ranks_and_spearman(spark):
         stats.equal_keys(pr, nv.where("key != 'A'"))
 
 
+def test_ranks_in_ranges(spark):
+    values = spark.range(1000).selectExpr("id AS key", "id % 37 AS value")
+    want = sorted(((v, k) for k, v in ((k, k % 37) for k in range(1000))), key=lambda x: (-x[0], x[1]))
+    assert rows(stats.rank_without_ties(values), "key", "rank") == sorted((k, n + 1) for n, (_, k) in enumerate(want))
+    assert stats.rank_with_ties(values.where("key < 0")).count() == 0
+
+
+def test_plain_rankers(spark, small):
+    terms, _ = query_tables(spark, [(1, "the zzz"), (2, "cat")])
+    got = {(r["query_id"], r["doc_id"]): r["score"] for r in rank.plain_cosine(small, terms).collect()}
+    assert len(got) == 12 and got[1, 3] == got[1, 5] == got[2, 2] == 0 and got[1, 0] > 0
+    likely = {(r["query_id"], r["doc_id"]): r["score"] for r in rank.plain_likelihood(small, terms).collect()}
+    assert likely[2, 3] == pytest.approx(math.log(0.5 * 2 / 3 + 0.5 * 5 / 25)) and likely[2, 5] == pytest.approx(math.log(0.5 * 5 / 25))
+
+
 def test_histograms(spark):
     pr = spark.createDataFrame([(0.01,), (0.005,), (1e-6,), (0.5,)], "value double")
     assert rows(stats.pagerank_histogram(pr), "decade", "n", "percent") == [(-6, 1, 25.0), (-3, 1, 25.0), (-2, 1, 25.0)]

@@ -22,6 +22,8 @@ class EngineConfig:
     prf_terms: int = 10
     prf_min_probability: float = 0.05
     suggestions: int = 5
+    #: ``plain`` or ``full``: how documents and queries become terms.
+    analyzer: str = "plain"
 
     REQUIRED = ("corpus_prefix", "index_prefix", "log_prefix", "indexer_type", "corpus_analyzer_type", "log_miner_type")
     INDEXERS = ("fullscan", "inverted-doconly", "inverted-occurrence", "inverted-compressed")
@@ -41,5 +43,7 @@ class EngineConfig:
             raise ValueError(f"missing settings: {', '.join(missing)}")
         if found["indexer_type"] not in cls.INDEXERS:
             raise ValueError(f"unknown indexer_type: {found['indexer_type']}")
+        if found.get("analyzer", "plain") not in ("plain", "full"):
+            raise ValueError(f"unknown analyzer: {found['analyzer']}")
         kinds = {f.name: type(f.default) for f in fields(cls)}
         return cls(**{k: kinds[k](v) for k, v in found.items() if k in kinds})

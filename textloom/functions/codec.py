@@ -6,11 +6,15 @@ high bit.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Postings of a term are worked on in blocks of two to the power of this.
+BLOCK_BITS = 16
+
 
 def encode(value: int) -> bytes:
     if value < 0:
@@ -60,21 +64,36 @@ def position_gaps(positions: str | Column = "positions") -> Column:
     return F.transform(p, lambda x, i: x - F.when(i > 0, F.element_at(p, i)).otherwise(F.lit(0)))
 
 
-def gaps_to_positions(gaps: str | Column = "gaps") -> Column:
-    g = F.col(gaps) if isinstance(gaps, str) else gaps
-    return F.aggregate(g, F.array().cast("array<int>"), lambda done, x: F.concat(done, F.array((F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0)) + x).cast("int"))))
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def gaps_to_positions(gaps: pd.Series) -> pd.Series:
+    return gaps.map(lambda x: None if x is None else np.cumsum(x, dtype=np.int32))
+
+
+def _blocks(rows: DataFrame, order: str, figures: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """The rows with ``_block``, a part of their term by ``order``, as a stop word's postings should be no single task; and figures of the blocks."""
+    blocked = rows.withColumn("_block", F.shiftright(order, BLOCK_BITS))
+    return blocked, blocked.groupBy("term", "_block").agg(*figures)
 
 
 def delta_postings(postings: DataFrame) -> DataFrame:
     """``term, ordinal, doc_id, doc_gap, tf, gaps``: the first document of a term as it is, then differences."""
-    order = Window.partitionBy("term").orderBy("doc_id")
-    return postings.select("term", F.row_number().over(order).alias("ordinal"), "doc_id", (F.col("doc_id") - F.lag("doc_id", 1, 0).over(order)).alias("doc_gap"), "tf", position_gaps().alias("gaps"))
+    rows, blocks = _blocks(postings, "doc_id", [F.max("doc_id").alias("_last"), F.count("*").alias("_n")])
+    by_block = Window.partitionBy("term").orderBy("_block")
+    sums = F.sum("_n").over(by_block.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    blocks = blocks.select("term", "_block", F.lag("_last", 1, 0).over(by_block).alias("_before"), sums.alias("_done"))
+    order = Window.partitionBy("term", "_block").orderBy("doc_id")
+    own = rows.select("*", F.row_number().over(order).alias("_own"), F.lag("doc_id").over(order).alias("_prev")).join(blocks, ["term", "_block"])
+    gap = F.col("doc_id") - F.coalesce("_prev", "_before")
+    return own.select("term", (F.col("_done") + F.col("_own")).alias("ordinal"), "doc_id", gap.alias("doc_gap"), "tf", position_gaps().alias("gaps"))
 
 
 def undelta_postings(coded: DataFrame, order: str = "ordinal") -> DataFrame:
     """The postings of coded ones whose column ``order`` numbers those of a term."""
-    upto = Window.partitionBy("term").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return coded.select("term", F.sum("doc_gap").over(upto).alias("doc_id"), "tf", gaps_to_positions().alias("positions"))
+    rows, blocks = _blocks(coded, order, [F.sum("doc_gap").alias("_gaps")])
+    blocks = blocks.select("term", "_block", (F.sum("_gaps").over(Window.partitionBy("term").orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_gaps")).alias("_before"))
+    upto = Window.partitionBy("term", "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    own = rows.select("term", "_block", "tf", "gaps", F.sum("doc_gap").over(upto).alias("_upto")).join(blocks, ["term", "_block"])
+    return own.select("term", (F.col("_before") + F.col("_upto")).alias("doc_id"), "tf", gaps_to_positions("gaps").alias("positions"))
 
 
 def encoded_sizes(postings: DataFrame) -> DataFrame:

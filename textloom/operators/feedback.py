@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.query import query_tables
+from ..plans.query import PLAIN, Analyzer, query_tables
 from .index import Index, without_stop_words
 from .rank import search
 
@@ -19,21 +19,27 @@ def expansion_terms(index: Index, results: DataFrame, m: int = 10) -> DataFrame:
 
 
 def expand_query(text: str, expansion: list[tuple[str, float]], least: float = 0.05) -> str:
-    """The query without quotation marks, and the likely terms that it does not yet contain as a substring."""
-    text = text.replace('"', " ")
+    """The query in lower case without quotation marks, and the likely terms that it does not yet contain as a substring."""
+    text = text.lower().replace('"', " ")
     for term, prob in expansion:
         if prob >= least and term not in text:
             text = f"{text} {term}"
     return text
 
 
-def expanded_search(spark, index: Index, queries: list[tuple[int, str]], name: str = "cosine", k: int = 10, m: int = 10, least: float = 0.05, signals: DataFrame | None = None) -> DataFrame:
-    """Searches, adds each query's likely terms (1 / least at most) and searches again."""
-    terms, phrases = query_tables(spark, queries)
-    found = search(index, terms, phrases, name, k, signals)
-    likely = expansion_terms(index, found, m).where(F.col("prob") >= least).orderBy("query_id", F.desc("prob"), "term").collect()
-    expanded = [(q, expand_query(text, [(x["term"], x["prob"]) for x in likely if x["query_id"] == q], least)) for q, text in queries]
-    return search(index, *query_tables(spark, expanded), name, k, signals)
+def expanded_search(spark, index: Index, queries: list[tuple[int, str]], name: str = "cosine", k: int = 10, m: int = 10, least: float = 0.05, signals: DataFrame | None = None, analyzer: Analyzer = PLAIN, **how) -> DataFrame:
+    """Searches, adds each query's likely terms and searches again.
+
+    The terms are collected with the queries, which the caller holds in the driver: m
+    for each of them, and 1 / least, at most.
+    """
+    terms, phrases = query_tables(spark, queries, analyzer)
+    found = search(index, terms, phrases, name, k, signals, **how)
+    likely: dict[int, list[tuple[str, float]]] = {}
+    for x in expansion_terms(index, found, m).where(F.col("prob") >= least).orderBy("query_id", F.desc("prob"), "term").collect():
+        likely.setdefault(x["query_id"], []).append((x["term"], x["prob"]))
+    expanded = [(q, expand_query(analyzer.normal(text), likely.get(q, []), least)) for q, text in queries]
+    return search(index, *query_tables(spark, expanded, analyzer), name, k, signals, **how)
 
 
 def bhattacharyya(distributions: DataFrame) -> DataFrame:

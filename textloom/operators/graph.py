@@ -8,8 +8,15 @@ from pyspark.sql import functions as F
 #: A link to a page of the same folder; any link; a redirect.
 LOCAL_LINK = r'<[a|A].*?href="([^ /#]*)".*?>'
 ANY_LINK = r'<[aA]\b[^>]*?href="([^"]*)"'
-REDIRECT = r'http-equiv="refresh".*content=".*url=(.*)">'
-HOPS = 20
+REDIRECT = r'<[meta|META].*http-equiv="refresh".*content=".*url=(.*)">'
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The table without its lineage, in the session's checkpoint folder, or in the warehouse where none is set."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/textloom-checkpoints")
+    return df.checkpoint()
 
 
 def _lines(pages: DataFrame) -> DataFrame:
@@ -31,19 +38,21 @@ def links(pages: DataFrame, pattern: str = LOCAL_LINK) -> DataFrame:
     return found.join(stop, "url", "left").where("stop IS NULL OR line < stop").select("url", "line", "target")
 
 
-def close_redirects(moves: DataFrame, hops: int = HOPS) -> DataFrame:
+def close_redirects(moves: DataFrame) -> DataFrame:
     """``url, target`` with the end of each chain; chains that never end are dropped.
 
-    Pointers double their reach each round, so few rounds follow long chains; the
-    last round's rows that still lead to a redirect are cycles.
+    Of a page's targets the smallest counts.  Pointers double their reach each round
+    until all are settled: those at their end stay, and rows that still move after
+    as many rounds as a chain through all redirects takes are cycles.
     """
-    now = moves.select("url", "target").dropDuplicates(["url"])
-    reach = 1
-    while reach < hops:
+    now = cut(moves.groupBy("url").agg(F.min("target").alias("target")))
+    heads = now.select(F.col("url").alias("target"))
+    reach, most = 1, now.count()
+    while reach < most and not now.join(heads, "target", "left_semi").isEmpty():
         onward = now.select(F.col("url").alias("target"), F.col("target").alias("further"))
-        now = now.join(onward, "target", "left").select("url", F.coalesce("further", "target").alias("target"))
+        now = cut(now.join(onward, "target", "left").select("url", F.coalesce("further", "target").alias("target")))
         reach *= 2
-    return now.join(moves.select(F.col("url").alias("target")), "target", "left_anti").select("url", "target")
+    return now.join(heads, "target", "left_anti").select("url", "target")
 
 
 def build_graph(pages: DataFrame, pattern: str = LOCAL_LINK) -> tuple[DataFrame, DataFrame]:
@@ -66,10 +75,9 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.1, iteration
     shares = pairs.join(parts, "src").select("src", "dst", "out").persist()
     n = nodes.count()
     ranks = nodes.select("node", F.lit(1.0 / max(n, 1)).alias("page_rank"))
-    checkpoints = nodes.sparkSession.sparkContext.getCheckpointDir()
     for k in range(iterations):
         got = shares.join(ranks, F.col("src") == F.col("node")).groupBy("dst").agg(F.sum(F.col("page_rank") / F.col("out")).alias("got"))
         ranks = nodes.join(got, F.col("node") == F.col("dst"), "left").select("node", ((1 - damping) * F.coalesce("got", F.lit(0.0)) + damping / max(n, 1)).alias("page_rank"))
-        if checkpoints and k % 5 == 4:
-            ranks = ranks.checkpoint()
+        if k % 5 == 4:
+            ranks = cut(ranks)
     return ranks

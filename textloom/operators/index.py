@@ -99,7 +99,8 @@ class Index:
     def of(cls, docs: DataFrame, toks: DataFrame, tf: DataFrame, terms: DataFrame, n_stops: int) -> Index:
         n_docs = docs.count()
         n_tokens = terms.agg(F.coalesce(F.sum("ctf"), F.lit(0))).first()[0]
-        return cls(docs, toks, tf, terms, stop_words(terms, n_stops), document_statistics(tf, terms, n_docs), n_docs, n_tokens)
+        stops = stop_words(terms, n_stops).toArrow()  # a fixed number of terms
+        return cls(docs, toks, tf, terms, docs.sparkSession.createDataFrame(stops), document_statistics(tf, terms, n_docs).persist(), n_docs, n_tokens)
 
     def save(self, path: str) -> None:
         """Tables sorted by their key, so that readers of few terms skip row groups."""
@@ -114,5 +115,6 @@ class Index:
         return cls.of(read("documents"), read("tokens"), read("frequencies"), read("terms"), n_stops)
 
     def unpersist(self) -> None:
+        self.stats.unpersist()
         self.tf.unpersist()
         self.terms.unpersist()

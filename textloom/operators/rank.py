@@ -19,8 +19,8 @@ VIEWS_RANGE = (0.0, 420930.0)
 
 
 def top_k(scored: DataFrame, k: int = 10) -> DataFrame:
-    """``query_id, rank, doc_id, score``: score descending, then doc_id."""
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    """``query_id, rank, doc_id, score``: score descending, then doc_id; scores that differ by the order of a sum are equal."""
+    best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 10)), "doc_id")
     return scored.select("query_id", F.row_number().over(best).alias("rank"), "doc_id", "score").where(F.col("rank") <= k)
 
 
@@ -55,8 +55,8 @@ def _with_signals(rows: DataFrame, signals: DataFrame | None) -> DataFrame:
     return rows.join(signals.select("doc_id", "page_rank", "views"), "doc_id", "left").withColumns({"page_rank": F.coalesce("page_rank", F.lit(0.0)), "views": F.coalesce("views", F.lit(0))})
 
 
-def linear(index: Index, terms: DataFrame, candidates: DataFrame, signals: DataFrame | None = None) -> DataFrame:
-    both = cosine(index, terms, candidates).withColumnRenamed("score", "c").join(query_likelihood(index, terms, candidates).withColumnRenamed("score", "l"), ["query_id", "doc_id"])
+def linear(index: Index, terms: DataFrame, candidates: DataFrame, signals: DataFrame | None = None, mix: float = 0.5) -> DataFrame:
+    both = cosine(index, terms, candidates).withColumnRenamed("score", "c").join(query_likelihood(index, terms, candidates, mix).withColumnRenamed("score", "l"), ["query_id", "doc_id"])
     score = F.col("c") / LINEAR_COSINE + F.col("l") / LINEAR_QL + F.col("views") / LINEAR_VIEWS
     return _with_signals(both, signals).select("query_id", "doc_id", score.alias("score"))
 
@@ -100,6 +100,32 @@ def bigram_rank(index: Index, bigrams: DataFrame) -> DataFrame:
     return counted.unionByName(single)
 
 
+def every_document(index: Index, terms: DataFrame) -> DataFrame:
+    """``query_id, doc_id``: all documents for each query of the batch, as the rankers without matching score them."""
+    return index.documents.select("doc_id").crossJoin(F.broadcast(terms.select("query_id").distinct())).select("query_id", "doc_id")  # the batch of queries
+
+
+def plain_cosine(index: Index, terms: DataFrame) -> DataFrame:
+    """``query_id, doc_id, score`` of all documents: without stop words or matching, the ratio in the idf cut to an integer."""
+    whole = lambda: 1 + F.log2(F.floor(F.lit(float(index.n_docs)) / F.col("df")).cast("double"))
+    weights = F.broadcast(terms).join(index.terms, "term").select("query_id", "term", (F.col("qtf") * whole()).alias("q"), whole().alias("idf"))
+    length = weights.groupBy("query_id").agg(F.sum(F.col("q") * F.col("q")).alias("q2"))
+    norms = index.tf.join(index.terms.select("term", "df"), "term").groupBy("doc_id").agg(F.sum(F.pow(F.col("tf") * whole(), F.lit(2.0))).alias("norm2"))
+    dots = index.tf.join(F.broadcast(weights), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("q") * F.col("tf") * F.col("idf")).alias("dot"))
+    scored = dots.join(norms, "doc_id").join(F.broadcast(length), "query_id").select("query_id", "doc_id", (F.col("dot") / F.sqrt(F.col("q2") * F.col("norm2"))).alias("score"))
+    return every_document(index, terms).join(scored, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def plain_likelihood(index: Index, terms: DataFrame, mix: float = 0.5) -> DataFrame:
+    """``query_id, doc_id, score`` of all documents by query likelihood, without stop words or matching; empty documents by the corpus alone."""
+    words = F.broadcast(terms.where("token_tf > 0")).join(index.terms, "term").select("query_id", "term", "token_tf", (mix * F.col("ctf") / F.lit(float(max(index.n_tokens, 1)))).alias("behind"))
+    bases = words.groupBy("query_id").agg(F.sum(F.col("token_tf") * F.ln("behind")).alias("base"))
+    held = index.tf.join(F.broadcast(words), "term").join(index.stats.select("doc_id", "size"), "doc_id")
+    more = held.groupBy("query_id", "doc_id").agg(F.sum(F.col("token_tf") * (F.ln((1 - mix) * F.col("tf") / F.col("size") + F.col("behind")) - F.ln("behind"))).alias("more"))
+    rows = every_document(index, terms).join(F.broadcast(bases), "query_id", "left").join(more, ["query_id", "doc_id"], "left")
+    return rows.select("query_id", "doc_id", (F.coalesce("base", F.lit(0.0)) + F.coalesce("more", F.lit(0.0))).alias("score"))
+
+
 def combined_rank(index: Index, terms: DataFrame, candidates: DataFrame, bigrams: DataFrame, signals: DataFrame | None = None) -> DataFrame:
     """Cosine, likelihood, neighbouring words and views in one sum."""
     base = linear(index, terms, candidates, signals)
@@ -117,6 +143,7 @@ RANKERS: dict[str, Callable[..., DataFrame]] = {
     "numviews": views_rank,
 }
 WITH_SIGNALS = ("linear", "comprehensive", "numviews")
+WITH_MIX = ("ql", "linear")
 
 
 def ranker(name: str) -> Callable[..., DataFrame]:
@@ -125,11 +152,13 @@ def ranker(name: str) -> Callable[..., DataFrame]:
     return RANKERS[name]
 
 
-def search(index: Index, terms: DataFrame, phrases: DataFrame, name: str = "cosine", k: int = 10, signals: DataFrame | None = None, positions: bool = True) -> DataFrame:
-    """The best k documents of every query of the batch."""
+def search(index: Index, terms: DataFrame, phrases: DataFrame, name: str = "cosine", k: int = 10, signals: DataFrame | None = None, positions: bool = True, mix: float = 0.5) -> DataFrame:
+    """The best k documents of every query of the batch; without ``positions`` phrases match as their words do."""
     score = ranker(name)
     candidates = match_all(index, terms, phrases, positions)
     more = {"signals": signals} if name in WITH_SIGNALS else {}
+    if name in WITH_MIX:
+        more["mix"] = mix
     return top_k(score(index, terms, candidates, **more), k)
 
 

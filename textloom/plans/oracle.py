@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from ..operators.evaluate import LEVELS
 from . import registry as R
-from .query import parse_query
+from .query import FULL, PLAIN, Analyzer, parse_query
 
 LOWER_WORDS = "regexp_extract_all(lower(coalesce({}, '')), '[a-z0-9]+')"
 
@@ -13,6 +15,42 @@ tok AS (
   SELECT doc_id, i - 1 AS pos, w[i] AS term
   FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, {LOWER_WORDS.format("text")} AS w FROM documents))
 )"""
+#: Consonants and vowels of a word.
+KINDS = "regexp_replace(regexp_replace({}, '[^aeiouy]', 'c', 'g'), '[aeiou]', 'v', 'g')"
+for _ in range(4):
+    KINDS = f"regexp_replace(regexp_replace({KINDS}, '(^|v)y', '\\1c', 'g'), 'cy', 'cv', 'g')"
+INITIALS = r"""
+ini1 AS (SELECT doc_id, string_split(coalesce(text, ''), '') AS c FROM documents),
+ini2 AS (SELECT doc_id, trim(array_to_string(list_filter(c, lambda x, i: NOT (x = '.' AND i > 1 AND regexp_matches(c[i - 1], '^[a-zA-Z]$') AND (i = 2 OR c[i - 2] IN (' ', '.')))), '')) AS s FROM ini1),
+ini3 AS (SELECT doc_id, string_split(trim(regexp_replace(s, '(?i)^([a-z]) ([a-z])($| )', '\1\2 ')), ' ') AS t FROM ini2),
+ini4 AS (SELECT doc_id, i, t[i] AS w, i > 1 AND regexp_matches(t[i], '^[a-zA-Z]$') AS single FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM ini3)),
+ini5 AS (SELECT doc_id, i, w, single AND (i - max(CASE WHEN NOT single THEN i END) OVER (PARTITION BY doc_id ORDER BY i)) % 2 = 0 AS glued FROM ini4),
+ini AS (SELECT doc_id, trim(substr(string_agg(CASE WHEN glued THEN w ELSE ' ' || w END, '' ORDER BY i), 2)) AS s FROM ini5 GROUP BY doc_id)"""
+TOK_FULL = f"""{INITIALS},
+raw AS (
+  SELECT doc_id, i - 1 AS pos, w[i] AS word
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i
+        FROM (SELECT doc_id, regexp_extract_all(lower(replace(replace(strip_accents(s), 'º', ' u186 '), 'ª', ' u170 ')), '[a-z0-9]+') AS w FROM ini))
+),
+st1 AS (SELECT DISTINCT word FROM raw),
+st2 AS (SELECT word, CASE WHEN len(word) < 3 THEN word WHEN word LIKE '%sses' OR word LIKE '%ies' THEN word[:-3] WHEN word LIKE '%s' AND word NOT LIKE '%ss' THEN word[:-2] ELSE word END AS w FROM st1),
+st3 AS (
+  SELECT word, w, CASE WHEN len(word) < 3 THEN NULL WHEN w LIKE '%eed' THEN NULL
+         WHEN w LIKE '%ed' AND contains({KINDS.format("left(w, len(w) - 2)")}, 'v') THEN left(w, len(w) - 2)
+         WHEN w LIKE '%ing' AND contains({KINDS.format("left(w, len(w) - 3)")}, 'v') THEN left(w, len(w) - 3) END AS t
+  FROM st2
+),
+st4 AS (SELECT *, {KINDS.format("t")} AS k FROM st3),
+stems AS (
+  SELECT word, CASE
+    WHEN t IS NULL THEN CASE WHEN len(word) > 2 AND w LIKE '%eed' AND contains({KINDS.format("left(w, len(w) - 3)")}, 'vc') THEN left(w, len(w) - 1) ELSE w END
+    WHEN t LIKE '%at' OR t LIKE '%bl' OR t LIKE '%iz' THEN t || 'e'
+    WHEN len(t) > 1 AND right(t, 1) = substr(t, len(t) - 1, 1) AND k LIKE '%c' THEN CASE WHEN right(t, 1) IN ('l', 's', 'z') THEN t ELSE left(t, len(t) - 1) END
+    WHEN regexp_matches(k, '^c*v+c$') AND k LIKE '%cvc' AND right(t, 1) NOT IN ('w', 'x', 'y') THEN t || 'e'
+    ELSE t END AS term
+  FROM st4
+),
+tok AS (SELECT doc_id, pos, term FROM raw JOIN stems USING (word))"""
 TF = TOK + """,
 tf AS (SELECT term, doc_id, count(*) AS tf FROM tok GROUP BY term, doc_id),
 terms AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS ctf FROM tf GROUP BY term),
@@ -22,6 +60,9 @@ idf AS (SELECT term, 1 + ln(n_docs::DOUBLE / df) / ln(2.0) AS idf FROM terms, n)
 stats AS (SELECT doc_id, sum(tf)::BIGINT AS size, sum((tf * idf) * (tf * idf)) AS norm2 FROM tf JOIN idf USING (term) GROUP BY doc_id)"""
 
 
+TF_FULL = TF.replace(TOK, TOK_FULL)
+
+
 def _values(rows: list[tuple], names: str) -> str:
     def literal(x) -> str:
         return "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
@@ -30,10 +71,10 @@ def _values(rows: list[tuple], names: str) -> str:
     return f"(SELECT * FROM (VALUES {body}) AS t({names}))"
 
 
-def _query_ctes(queries: list[tuple[int, str]]) -> str:
+def _query_ctes(queries: list[tuple[int, str]], analyzer: Analyzer = PLAIN) -> str:
     terms, phrases = [], []
     for q, text in queries:
-        parsed = parse_query(text)
+        parsed = parse_query(text, analyzer)
         flat = [t for p in parsed.phrases.values() for t in p]
         for t in dict.fromkeys(parsed.tokens + flat):
             terms.append((q, t, (parsed.tokens + flat).count(t), parsed.tokens.count(t)))
@@ -94,6 +135,11 @@ def _top(scores: str, digits: int = 6, k: int = 10) -> str:
   FROM (SELECT query_id, doc_id, round(score, {digits}) AS score FROM {scores})) WHERE rank <= {k}"""
 
 
+def _renamed(sql: str) -> str:
+    """The same tables a second time, over the expanded queries."""
+    return re.sub(r"\b(qt|qp|ph|ops|need|met|cand|q2|dots|cos)\b(?=[\s,.()]|$)", r"\1_2", sql).replace("qt_2", "qt2").replace("qp_2", "qp2").replace("cos_2", "cos2").replace("q2_2", "q22")
+
+
 def _judged(final: str) -> str:
     return f"""WITH {TF}, {_query_ctes(R.QUERIES)}, {MATCH}, {COSINE}, run AS ({_top("cos")}),
 g AS (SELECT doc_id, max(CASE WHEN quality <> 1 THEN 0 WHEN toxic = 1 THEN 1 ELSE 5 END)::DOUBLE AS gain FROM labels GROUP BY doc_id),
@@ -120,6 +166,7 @@ def statements() -> dict[str, str]:
 )"""
     cosine_run = f"{matched}, {COSINE}, run AS ({_top('cos')})"
     fixed = _values(R.FIXED_HTML, "url, html")
+    whole = f"(SELECT url, html FROM {fixed} UNION ALL SELECT page_id::VARCHAR, html FROM pages)"
     histogram = lambda source, ladder: f"SELECT decade, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM {source}), 6) AS percent, (SELECT min(value) FROM {source}) AS least, (SELECT max(value) FROM {source}) AS most FROM (SELECT CASE {ladder} END AS decade FROM {source}) WHERE decade IS NOT NULL GROUP BY decade"
     tens = lambda k: f"1e{k}"
     pr_ladder = " ".join(f"WHEN value >= {tens(-k)} AND value <= {tens(1 - k)} THEN {-k}" for k in range(2, 7))
@@ -134,7 +181,7 @@ def statements() -> dict[str, str]:
     closure = """moved(url, target) AS (
   SELECT url, regexp_extract(html, 'http-equiv="refresh".*content=".*url=(.*)">', 1) FROM fixed WHERE html LIKE '%http-equiv="refresh"%'
 ), hop(url, target, n) AS (
-  SELECT url, target, 1 FROM moved UNION ALL SELECT h.url, m.target, n + 1 FROM hop h JOIN moved m ON m.url = h.target WHERE n < 20
+  SELECT url, target, 1 FROM moved UNION ALL SELECT h.url, m.target, n + 1 FROM hop h JOIN moved m ON m.url = h.target WHERE n < 100
 ), closed AS (SELECT url, target FROM hop WHERE target NOT IN (SELECT url FROM moved))"""
     page_links = """l AS (
   SELECT url, unnest(regexp_extract_all(line, '<[a|A].*?href="([^ /#]*)".*?>', 1)) AS target
@@ -181,8 +228,8 @@ FROM ids a, ids b WHERE a.query_id <> b.query_id""",
   SELECT page_id::VARCHAR AS url, unnest(regexp_extract_all(line, '<[aA]\\b[^>]*?href="([^"]*)"', 1)) AS target FROM (SELECT page_id, unnest(string_split(html, chr(10))) AS line FROM pages)
   UNION ALL SELECT url, unnest(regexp_extract_all(line, '<[a|A].*?href="([^ /#]*)".*?>', 1)) FROM (SELECT url, unnest(string_split(html, chr(10))) AS line FROM fixed)
 ) SELECT url, target, count(*) AS n FROM raw GROUP BY ALL""",
-        "redirect_closure": f"WITH RECURSIVE fixed AS {fixed}, {closure} SELECT url, target FROM closed",
-        "pagerank_pages": f"""WITH RECURSIVE fixed AS {fixed}, {closure}, {page_links},
+        "redirect_closure": f"WITH RECURSIVE fixed AS {whole}, {closure} SELECT url, target FROM closed",
+        "pagerank_pages": f"""WITH RECURSIVE fixed AS {whole}, {closure}, {page_links},
 nodes AS (SELECT url AS node FROM fixed WHERE url NOT IN (SELECT url FROM moved)),
 edges AS (SELECT l.url AS src, coalesce(c.target, l.target) AS dst FROM l LEFT JOIN closed c ON c.url = l.target WHERE coalesce(c.target, l.target) IN (SELECT node FROM nodes)),
 {PAGERANK} SELECT node, round(page_rank, 9) AS page_rank FROM r2""",
@@ -213,5 +260,42 @@ SELECT row_number() OVER (ORDER BY cnt DESC) AS rank, substr(query, {len(R.SUGGE
             f", ap AS (SELECT query, coalesce(avg(CASE WHEN rel = 1 THEN p END), 0) AS ap FROM m GROUP BY query), ip AS (SELECT query, {interpolated} FROM m GROUP BY query) "
             f"SELECT count(*) AS queries, round(avg(ap), 6) AS map, {', '.join(f'round(avg(ip_{i}), 6) AS ip_{i}' for i in range(11))} FROM ap JOIN ip USING (query)"
         ),
+        "rank_favorite": f"SELECT query_id, rank, doc_id, round(score, 6) AS score FROM (WITH {batch}, {MATCH}, {COSINE} {_top('cos', 10)})",
+        "rank_batch": f"""WITH {batch}, {MATCH}, {VIEWS}, a AS ({_top('(SELECT query_id, doc_id, 1.0::DOUBLE AS score FROM cand)', 6, 5)}), b AS ({_top('(SELECT query_id, doc_id, views::DOUBLE AS score FROM cand JOIN views USING (doc_id))', 6, 5)})
+SELECT 'conjunctive' AS ranker, * FROM a UNION ALL SELECT 'numviews', * FROM b""",
+        "rank_combined": f"""{matched}, {COSINE}, {LIKELY}, {signals}, b AS {_values(R.BIGRAMS, "query_id, first, second")}, near AS (
+  SELECT query_id, x.doc_id, count(*)::DOUBLE AS b FROM b JOIN tok x ON x.term = first JOIN tok y ON y.term = second AND y.doc_id = x.doc_id AND y.pos = x.pos + 1 GROUP BY ALL
+  UNION ALL SELECT query_id, doc_id, tf::DOUBLE FROM b JOIN tf ON term = first WHERE second IS NULL),
+lin AS (SELECT cos.query_id, cos.doc_id, cos.score / 0.8 + ql.score / 9 + views / 20000.0 + coalesce(b, 0) / 300 AS score FROM cos JOIN ql USING (query_id, doc_id) JOIN sig USING (doc_id) LEFT JOIN near USING (query_id, doc_id)) {_top('lin')}""",
+        "rank_plain_cosine": f"""WITH {batch}, i AS (SELECT term, 1 + ln(floor(n_docs / df)) / ln(2.0) AS idf FROM terms, n), q2 AS (SELECT query_id, sum((qtf * idf) ^ 2) AS q2 FROM qt JOIN i USING (term) GROUP BY ALL),
+nm AS (SELECT doc_id, sum((tf * idf) ^ 2) AS norm2 FROM tf JOIN i USING (term) GROUP BY ALL), dt AS (SELECT query_id, doc_id, sum(qtf * idf * tf * idf) AS dot FROM qt JOIN i USING (term) JOIN tf USING (term) GROUP BY ALL),
+s AS (SELECT q.query_id, documents.doc_id, coalesce(dot / sqrt(q2 * norm2), 0) AS score FROM (SELECT DISTINCT query_id FROM qt) q, documents LEFT JOIN dt ON dt.query_id = q.query_id AND dt.doc_id = documents.doc_id LEFT JOIN q2 ON q2.query_id = q.query_id LEFT JOIN nm ON nm.doc_id = documents.doc_id) {_top('s')}""",
+        "rank_plain_ql": f"""WITH {batch}, w AS (SELECT query_id, term, token_tf, ctf FROM qt JOIN terms USING (term) WHERE token_tf > 0),
+s AS (SELECT q.query_id, documents.doc_id, coalesce(sum(token_tf * ln(0.5 * coalesce(tf, 0) / coalesce(size, 1) + 0.5 * ctf / n_tokens)), 0) AS score
+  FROM (SELECT DISTINCT query_id FROM qt) q, documents LEFT JOIN w ON w.query_id = q.query_id LEFT JOIN tf ON tf.term = w.term AND tf.doc_id = documents.doc_id LEFT JOIN stats ON stats.doc_id = documents.doc_id, n GROUP BY ALL) {_top('s')}""",
+        "rank_cosine_full": f"WITH {TF_FULL}, {_query_ctes(R.QUERIES, FULL)}, {MATCH}, {COSINE} {_top('cos')}",
+        "match_phrase_full": f"WITH {TF_FULL}, {_query_ctes(R.QUERIES, FULL)}, {MATCH} SELECT query_id, phrase_id, doc_id, starts FROM ph",
+        "analyze_full": f"WITH {TF_FULL} SELECT * FROM terms",
+        "initials": f"WITH {INITIALS} SELECT doc_id, md5(s) AS text FROM ini",
+        "prf_search": f"""{cosine_run.replace(_top('cos'), _top('cos', 10))}, {prf}, base AS {_values([(q, t) for q, t in R.QUERIES], "query_id, text")},
+grown AS (SELECT query_id, list_reduce(list_prepend(replace(lower(text), '"', ' '), coalesce(more, [])), lambda t, x: CASE WHEN contains(t, x) THEN t ELSE t || ' ' || x END) AS text
+  FROM base LEFT JOIN (SELECT query_id, list(term ORDER BY p DESC, term) AS more FROM prf WHERE p >= 0.05 GROUP BY ALL) USING (query_id)),
+qt2 AS (SELECT query_id, term, count(*) AS qtf, count(*) AS token_tf FROM (SELECT query_id, unnest(regexp_extract_all(text, '[a-z0-9]+')) AS term FROM grown) GROUP BY ALL), qp2 AS (SELECT * FROM qp WHERE false),
+{_renamed(f"{MATCH}, {COSINE}")} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM ({_top('cos2', 10)})""",
+        "eval_report": _judged(
+            f", ap AS (SELECT query, round(coalesce(avg(CASE WHEN rel = 1 THEN p END), 0), 6) AS ap, round(coalesce(1 / min(CASE WHEN rel = 1 THEN rank END), 0), 6) AS rr, round({_at(5)[0]}, 6) AS p_5, round({_at(5)[1]}, 6) AS r_5, round({f_one(5)}, 6) AS f_5, round(ip_5, 6) AS ip_5 "
+            f"FROM m JOIN (SELECT query, {interpolated} FROM m GROUP BY query) USING (query) GROUP BY query, ip_5), o AS (SELECT *, {ideal} FROM m), "
+            f"g5 AS (SELECT query, round(CASE WHEN {discount('gain', 'i5', 5)} > 0 THEN {discount('gain', 'rank', 5)} / {discount('gain', 'i5', 5)} ELSE 0 END, 6) AS ndcg_5 FROM o GROUP BY query) "
+            "SELECT query, p_5, r_5, f_5, ndcg_5, ip_5, ap, rr FROM ap JOIN g5 USING (query)"
+        ),
+        "eval_case_sensitive": "SELECT 1 AS query, doc_id, max(CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 5 END)::DOUBLE AS gain FROM labels GROUP BY doc_id",
+        "postings_roundtrip": f"WITH {TOK} SELECT term, doc_id, tf, array_to_string(ps, ',') AS positions FROM ({positional})",
+        "merged_partials": f"WITH {TF} SELECT term, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id % 2, doc_id) AS items FROM tf GROUP BY term",
+        "equal_keys": f"WITH {GRAPH}, {PAGERANK}, {VIEWS}, {VALUES} SELECT key, pr.value AS x, nv.value AS y FROM pr JOIN nv USING (key)",
+        "page_titles": "SELECT page_id, regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>(.*?)</title>', 1) AS title FROM pages",
+        "short_urls": "SELECT page_id, CASE WHEN len(p) > 5 THEN array_to_string(p[1:3], '/') || '/.../' || array_to_string(p[-2:], '/') ELSE url END AS short, url_decode(replace(url, '+', ' ')) AS decoded FROM (SELECT *, string_split(url, '/') AS p FROM pages)",
+        "known_pages": "SELECT DISTINCT url AS name FROM pages WHERE url LIKE '%/en/%'",
+        "suggestions_by_query": f"""WITH c AS (SELECT p_name AS query, count(*) AS cnt FROM part WHERE p_name LIKE '{R.SUGGEST}%' GROUP BY 1)
+SELECT row_number() OVER (ORDER BY cnt DESC, query) AS rank, substr(query, {len(R.SUGGEST) + 1}) AS suggestion, cnt FROM c ORDER BY cnt DESC, query LIMIT 50""",
     }
     return out

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from urllib.parse import parse_qs, unquote_plus
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.analysis import plain_query, query_text
+from ..functions.stemming import stem
+
 
 @dataclass
 class ParsedQuery:
@@ -16,16 +20,26 @@ class ParsedQuery:
     phrases: dict[str, list[str]] = field(default_factory=dict)
 
 
-def plain_words(text: str) -> list[str]:
-    return re.findall("[a-z0-9]+", text.lower())
+@dataclass(frozen=True)
+class Analyzer:
+    """The query side of an analyzer: what is done to a whole query, and to its parts between quotation marks."""
+
+    normal: Callable[[str], str]
+    words: Callable[[str], list[str]]
+
+
+PLAIN = Analyzer(lambda text: text, plain_query)
+#: Without accents, initials' dots and other marks than quotation marks; letters without case as tokens; stems.
+FULL = Analyzer(query_text, lambda text: [stem(w) for w in text.split()])
 
 
-def parse_query(text: str, words=plain_words) -> ParsedQuery:
+def parse_query(text: str, analyzer: Analyzer = PLAIN) -> ParsedQuery:
     """Tokens outside quotation marks and phrases inside.
 
     With an odd number of marks, everything after the first is one phrase, and
     the text before it loses its last character.  Equal phrases count once.
     """
+    text, words = analyzer.normal(text), analyzer.words
     out = ParsedQuery(text)
     marks = text.count('"')
     if marks % 2 == 0:
@@ -41,11 +55,21 @@ def parse_query(text: str, words=plain_words) -> ParsedQuery:
     return out
 
 
-def query_tables(spark: SparkSession, queries: list[tuple[int, str]], words=plain_words) -> tuple[DataFrame, DataFrame]:
+def _local(spark: SparkSession, rows: list[tuple], schema: pa.Schema) -> DataFrame:
+    """A table that the optimizer knows the rows of: an empty one cuts the joins with it out of a plan."""
+    columns = list(zip(*rows)) or [[] for _ in schema]
+    return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema))
+
+
+TERMS = pa.schema([("query_id", pa.int32()), ("term", pa.string()), ("qtf", pa.int64()), ("token_tf", pa.int64())])
+PHRASES = pa.schema([("query_id", pa.int32()), ("phrase_id", pa.int32()), ("offset", pa.int32()), ("term", pa.string())])
+
+
+def query_tables(spark: SparkSession, queries: list[tuple[int, str]], analyzer: Analyzer = PLAIN) -> tuple[DataFrame, DataFrame]:
     """``query_id, term, qtf, token_tf`` (token_tf: outside phrases) and ``query_id, phrase_id, offset, term``."""
     terms, phrases = [], []
     for query_id, text in queries:
-        parsed = parse_query(text, words)
+        parsed = parse_query(text, analyzer)
         counts: dict[str, list[int]] = {}
         for t in parsed.tokens:
             counts.setdefault(t, [0, 0])
@@ -55,10 +79,7 @@ def query_tables(spark: SparkSession, queries: list[tuple[int, str]], words=plai
                 counts.setdefault(t, [0, 0])[0] += 1
                 phrases.append((query_id, k, offset, t))
         terms += [(query_id, t, a, b) for t, (a, b) in counts.items()]
-    return (
-        spark.createDataFrame(terms, "query_id int, term string, qtf long, token_tf long"),
-        spark.createDataFrame(phrases, "query_id int, phrase_id int, offset int, term string"),
-    )
+    return _local(spark, terms, TERMS), _local(spark, phrases, PHRASES)
 
 
 @dataclass

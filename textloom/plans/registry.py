@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import analysis, codec
 from ..operators import autocomplete, evaluate, feedback, graph, index, logs, rank, retrieve, stats
-from .query import query_tables
+from .query import FULL, query_tables
 
 #: The batch of searches that all retrieval queries answer.
 QUERIES = [
@@ -42,6 +42,9 @@ FIXED_HTML = [
     ("R2", '<meta http-equiv="refresh" content="0;url=A">'),
     ("X1", '<meta http-equiv="refresh" content="0;url=X2">'),
     ("X2", '<meta http-equiv="refresh" content="0;url=X1">'),
+    # A redirect chain that is longer than any fixed number of hops one might follow.
+    *((f"K{k}", f'<meta http-equiv="refresh" content="0;url={f"K{k + 1}" if k < 40 else "B"}">') for k in range(1, 41)),
+    ("F", '<a href="K1">K1</a>'),
     ("E", '<a href="R1">R1</a>\n<a href="A">A</a>\n<a href="A">A</a>\n<a href="E">E</a>\n<a href="X1">X1</a>'),
 ]
 
@@ -60,6 +63,12 @@ def built(spark: SparkSession, sf_dir: str) -> index.Index:
     return index.Index.build(documents(spark, sf_dir))
 
 
+@lru_cache(maxsize=2)
+def built_full(spark: SparkSession, sf_dir: str) -> index.Index:
+    """The same with the full analyzer."""
+    return index.Index.build(documents(spark, sf_dir), analyze=analysis.full_tokens)
+
+
 def asked(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return query_tables(spark, QUERIES)
 
@@ -166,6 +175,40 @@ def _ranked(name: str, digits: int = 6) -> Callable[[SparkSession, str], DataFra
     return run
 
 
+def rank_favorite(spark, d):
+    return rounded(rank.search(built(spark, d), *asked(spark), "favorite"), "score").withColumn("rank", F.col("rank").cast("long"))
+
+
+def rank_batch(spark, d):
+    return rounded(rank.batch(built(spark, d), *asked(spark), ["conjunctive", "numviews"], 5, signals(spark, d)), "score").withColumn("rank", F.col("rank").cast("long"))
+
+
+def rank_cosine_full(spark, d):
+    """Cosine with the full analyzer on both sides."""
+    ix, (terms, phrases) = built_full(spark, d), query_tables(spark, QUERIES, FULL)
+    return rank.top_k(rounded(rank.cosine(ix, terms, retrieve.match_all(ix, terms, phrases)), "score")).withColumn("rank", F.col("rank").cast("long"))
+
+
+def match_phrase_full(spark, d):
+    return retrieve.phrase_matches(built_full(spark, d).toks, query_tables(spark, QUERIES, FULL)[1])
+
+
+def rank_plain_cosine(spark, d):
+    return rank.top_k(rounded(rank.plain_cosine(built(spark, d), asked(spark)[0]), "score")).withColumn("rank", F.col("rank").cast("long"))
+
+
+def rank_plain_ql(spark, d):
+    return rank.top_k(rounded(rank.plain_likelihood(built(spark, d), asked(spark)[0]), "score")).withColumn("rank", F.col("rank").cast("long"))
+
+
+def rank_combined(spark, d):
+    """Cosine, likelihood, neighbouring words and views of every match in one sum."""
+    ix, (terms, phrases) = built(spark, d), asked(spark)
+    bigrams = spark.createDataFrame(BIGRAMS, "query_id int, first string, second string")
+    found = rank.combined_rank(ix, terms, retrieve.match_all(ix, terms, phrases), bigrams, signals(spark, d))
+    return rank.top_k(rounded(found, "score")).withColumn("rank", F.col("rank").cast("long"))
+
+
 def rank_bigram(spark, d):
     bigrams = spark.createDataFrame(BIGRAMS, "query_id int, first string, second string")
     return rank.top_k(rank.bigram_rank(built(spark, d), bigrams)).withColumn("rank", F.col("rank").cast("long"))
@@ -180,7 +223,7 @@ def prf_terms(spark, d):
 
 
 def prf_search(spark, d):
-    return rounded(feedback.expanded_search(spark, built(spark, d), QUERIES[:3]), "score").withColumn("rank", F.col("rank").cast("long"))
+    return rounded(feedback.expanded_search(spark, built(spark, d), QUERIES), "score").withColumn("rank", F.col("rank").cast("long"))
 
 
 def query_bhattacharyya(spark, d):
@@ -193,6 +236,11 @@ def fixed_pages(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(FIXED_HTML, "url string, html string")
 
 
+def all_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of the corpus, which have no redirects, and fixed ones that have."""
+    return table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("url"), "html").unionByName(fixed_pages(spark))
+
+
 def links_extracted(spark, d):
     pages = table(spark, d, "pages").select(F.col("page_id").cast("string").alias("url"), "html")
     found = graph.links(pages, graph.ANY_LINK).unionByName(graph.links(fixed_pages(spark)))
@@ -200,11 +248,11 @@ def links_extracted(spark, d):
 
 
 def redirect_closure(spark, d):
-    return graph.close_redirects(graph.redirects(fixed_pages(spark)))
+    return graph.close_redirects(graph.redirects(all_pages(spark, d)))
 
 
 def pagerank_pages(spark, d):
-    return rounded(graph.pagerank(*graph.build_graph(fixed_pages(spark))), "page_rank", digits=9)
+    return rounded(graph.pagerank(*graph.build_graph(all_pages(spark, d))), "page_rank", digits=9)
 
 
 def pagerank_2iter(spark, d):
@@ -290,17 +338,73 @@ def eval_map(spark, d):
 
 
 def analyze_full(spark, d):
-    """Terms of the full analyzer; no SQL has its stemmer."""
+    """Terms of the full analyzer."""
     toks = analysis.full_tokens(documents(spark, d))
     return index.term_statistics(index.frequencies(toks))
 
 
+def eval_report(spark, d):
+    """All figures of the runs in one row per query."""
+    out = evaluate.report(*_judged(spark, d))
+    return rounded(out, *(c for c in out.columns if c != "query")).select("query", "p_5", "r_5", "f_5", "ndcg_5", "ip_5", "ap", "rr")
+
+
+def eval_case_sensitive(spark, d):
+    """Grades that differ in case from the known ones gain nothing."""
+    grade = F.when(F.col("doc_id") % 2 == 0, "good").otherwise("Good")
+    return evaluate.judgements(table(spark, d, "labels").select(F.lit(1).alias("query"), "doc_id", grade.alias("grade"), F.lit(0).alias("line")), True)
+
+
+# Text, codes and tables
+
+def postings_roundtrip(spark, d):
+    """Positions after delta and variable-byte coding and back."""
+    coded = codec.delta_postings(index.positional_postings(analysis.tokens(documents(spark, d)))).withColumn("gaps", codec.vbyte_decode(codec.vbyte_encode("gaps")).cast("array<int>"))
+    return codec.undelta_postings(coded).select("term", "doc_id", F.col("tf").cast("long").alias("tf"), F.array_join("positions", ",").alias("positions"))
+
+
+def merged_partials(spark, d):
+    """Two partial indexes, of even and odd documents, merged."""
+    tf = built(spark, d).tf
+    parts = [tf.where(F.col("doc_id") % 2 == k).groupBy("term").agg(F.sort_array(F.collect_list("doc_id")).alias("items")) for k in (0, 1)]
+    return index.merge_postings(parts).select("term", F.array_join("items", ",").alias("items"))
+
+
+def equal_keys(spark, d):
+    views = _views(spark, d)
+    return stats.equal_keys(_ranks(spark, d).join(views.select("key"), "key", "left_semi"), views)
+
+
+def page_titles(spark, d):
+    return table(spark, d, "pages").select("page_id", analysis.page_title("html").alias("title"))
+
+
+def short_urls(spark, d):
+    return table(spark, d, "pages").select("page_id", analysis.short_url("url").alias("short"), F.url_decode(F.regexp_replace("url", "/", "%2F")).alias("decoded"))
+
+
+def known_pages(spark, d):
+    pages = table(spark, d, "pages").select(F.col("url").alias("name")).distinct()
+    return analysis.known_names(pages, pages.where(F.col("name").like("%/en/%")))
+
+
+def initials(spark, d):
+    return documents(spark, d).select("doc_id", F.md5(analysis.remove_initials_dots(F.coalesce("text", F.lit("")))).alias("text"))
+
+
+def suggestions_by_query(spark, d):
+    """The most frequent continuations with ties in full."""
+    return autocomplete.suggest(autocomplete.consolidate(_log(spark, d)), SUGGEST, 50, collapse_ties=False).withColumn("rank", F.col("rank").cast("long"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = (
         corpus_stats, term_stats, postings_positional, postings_doconly, forward_topk, forward_no_stopwords, stopwords_topn, doc_norms, postings_delta_vbyte_size,
         match_and, match_or, match_phrase, match_phrase_doconly, fullscan_title, rank_bigram, prf_terms, prf_search, query_bhattacharyya,
         links_extracted, redirect_closure, pagerank_pages, pagerank_2iter, num_views, click_counts,
         rank_avg_ties, rank_tiebreak, spearman, pagerank_histogram, numviews_histogram, query_log_consolidated, autocomplete_topk, eval_map, analyze_full,
+        rank_favorite, rank_batch, rank_cosine_full, match_phrase_full, rank_plain_cosine, rank_plain_ql, rank_combined, eval_report, eval_case_sensitive,
+        postings_roundtrip, merged_partials, equal_keys, page_titles, short_urls, known_pages, initials, suggestions_by_query,
     )
     found = {f.__name__: f for f in plain}
     found |= {f"rank_{name}": _ranked(name) for name in ("cosine", "ql", "linear", "comprehensive", "conjunctive", "numviews")}
