@@ -1,6 +1,6 @@
 """Toxicity by a lexicon whose misspellings are caught too, weighed by context.
 
-Lexicon: words, and beginnings of words, whose share of toxic documents is
+Lexicon: words, and beginnings of words (of one or of several words of a text), whose share of toxic documents is
 above that of all documents by more than chance gives, counted by a distributed
 aggregation over at most ``TRAIN_DOCS`` labelled rows (in the order of a hash; a
 fixed bound on what the classifier is fitted on).  Only hits that are not quoted
@@ -12,13 +12,15 @@ documents with such hits are toxic.
 
 Matching: the lexicon is a trie, and the Levenshtein automaton of its terms
 (one edit from five letters on, two from nine; an exchange of neighbours is one
-edit; the first letter must agree) is intersected with it.  Determinising the intersection gives one table of
+edit; the first letter must agree but for its accent) is intersected with it.  Edits count code
+points: texts and terms are folded to one byte for each.  Determinising the intersection gives one table of
 states; all words of a slice of text run through it side by side, one byte a
 step, and most drop out after two or three.
 
 Context: a hit counts as quotation if the three words before and the three
 after it both hold a quotation mark, or a reporting word stands among the four
-words before it.  Each (term, misspelled, quoted) has a weight: the share of
+words before it.  Each (term, misspelled, quoted, many) has a weight, many telling
+whether different words of the text match the term: the share of
 toxic documents among the training documents with such a hit, smoothed.  A
 document's score joins its terms, each once at its largest weight, and the
 share of toxic documents among those without a hit: its complement is the
@@ -33,8 +35,10 @@ score.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -48,20 +52,54 @@ TRAIN_DOCS = 16_384
 THRESHOLD = 0.3
 #: Weight of a misspelling of which training saw none, and the start for the others.
 UNSEEN_MISSPELLED = 0.5
-#: Letters of the beginnings that are terms.
-STEMS = (4, 5, 6)
+#: Letters of the beginnings that are terms, and of those that make terms a family.
+STEMS = (3, 4, 5, 6, 7, 8)
+FAMILY = 3
 WINDOW = 3
 #: Words that report what others said, in the four languages.
 REPORTING = frozenset(
-    "said wrote writes quoted quote called word term dit écrit cite mot terme sagte schrieb zitiert wort begriff dijo escribió cita palabra término".encode().split()
+    "said wrote writes quoted quote called word term dit écrit cite mot terme sagte schrieb zitiert wort begriff dijo escribió cita palabra término".encode("latin-1").split()
 )
 
-#: Lower case; digits as the letters they stand for; all else that is no letter breaks words.
-FOLD = np.full(256, 32, np.uint8)
-FOLD[97:123] = np.arange(97, 123)
-FOLD[65:91] = np.arange(97, 123)
-FOLD[128:] = np.arange(128, 256)
-FOLD[48:58] = list(b"oizeasbtbg")
+#: Quotation marks.
+QUOTES = [0x22, 0xAB, 0xBB, 0x201C, 0x201D, 0x201E]
+
+
+def letters() -> np.ndarray:
+    """One byte for each code point of the first plane: lower case; digits as the letters they stand for; 32 for what breaks words.
+
+    Letters beyond ASCII keep seven bits, which tells those of Latin-1, or of one
+    alphabet, apart; letters of different scripts can look alike.
+    """
+    of = np.full(0x10000, 32, np.uint8)
+    for c in range(0x80, 0x10000):
+        if 0xD800 <= c < 0xE000 or not unicodedata.category(chr(c)).startswith("L"):
+            continue
+        of[c] = 128 + ord(chr(c).lower()[0]) % 128
+    of[97:123] = of[65:91] = np.arange(97, 123)
+    of[48:58] = list(b"oizeasbtbg")
+    return of
+
+
+LETTERS = letters()
+#: The letters without their accents.
+BARE = np.array([ord(unicodedata.normalize("NFD", chr(b))[0]) for b in range(256)])
+
+
+def folded(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One byte per code point of the texts, their bounds, and where quotation marks stand; combining marks are left out."""
+    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    padded = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.int32)
+    first, second, third = padded[lead], padded[lead + 1] & 0x3F, padded[lead + 2] & 0x3F
+    code = np.where(first < 0x80, first, np.where(first < 0xE0, (first & 0x1F) << 6 | second, np.where(first < 0xF0, (first & 0x0F) << 12 | second << 6 | third, 0xFFFF)))
+    keep = (code < 0x300) | (code > 0x36F)
+    places = np.zeros(len(data) + 1, np.int64)
+    places[lead[keep] + 1] = 1
+    np.cumsum(places, out=places)
+    code = code[keep]
+    return LETTERS[code], places[bounds], np.isin(code, QUOTES)
+
+
 _CODES, _WORD = K.byte_codes(61), K.Roller(62)
 
 
@@ -80,7 +118,7 @@ def build_trie(terms: list[str]) -> tuple[list[dict[int, int]], list[tuple[int,
     for k, term in enumerate(terms):
         stem, at = term.rstrip("*"), 0
         allowed = edits_allowed(stem)
-        for byte in stem.encode():
+        for byte in stem.encode("latin-1"):
             most[at] = max(most[at], allowed)
             if byte not in children[at]:
                 children[at][byte] = len(children)
@@ -119,7 +157,8 @@ class Automaton:
 def intersect(terms: list[str]) -> Automaton:
     """The determinised intersection of the terms' trie with their Levenshtein automata."""
     children, ends, most = build_trie(terms)
-    used = sorted({b for c in children for b in c})
+    used = {b for c in children for b in c}
+    used = sorted(used | {b for b in range(256) if any(BARE[b] == BARE[x] for x in children[0])})
     classes = np.zeros(256, np.int16)
     classes[used] = np.arange(1, len(used) + 1)
 
@@ -162,6 +201,10 @@ def intersect(terms: list[str]) -> Automaton:
                 continue
             if byte in children[node]:
                 put(children[node][byte], e)
+            elif node == 0 and byte is not None:  # the first letter may differ by its accent
+                for letter, child in children[0].items():
+                    if BARE[letter] == BARE[byte] and e < most[child]:
+                        put(child, e + 1)
             if node and e < most[node]:
                 put(node, e + 1)
                 for letter, child in children[node].items():
@@ -190,6 +233,8 @@ def intersect(terms: list[str]) -> Automaton:
                 told.update(children[node])
                 if node and e < most[node]:
                     told.update(*(children[x] for x in children[node].values()))
+        if (0, 0) in states:
+            told.update(b for b in used if any(BARE[b] == BARE[x] for x in children[0]))
         row = None
         for byte in (None, *told):
             target = step(states, byte)
@@ -209,15 +254,13 @@ def intersect(terms: list[str]) -> Automaton:
 class Model:
     terms: list[str]
     automaton: Automaton
-    #: By (term, misspelled, quoted).
-    weights: dict[tuple[int, bool, bool], float] = field(default_factory=dict)
+    #: By (term, misspelled, quoted, many).
+    weights: dict[tuple[int, bool, bool, bool], float] = field(default_factory=dict)
     base: float = 0.0
 
 
-def quotations(texts: K.Texts, data: np.ndarray, found: np.ndarray) -> np.ndarray:
-    """Which of the words ``found`` are quoted or reported."""
-    shifted = np.concatenate([[0], data[:-1]])
-    marks = (data == 0x22) | ((shifted == 0xC2) & ((data == 0xAB) | (data == 0xBB))) | ((shifted == 0x80) & (data >= 0x9C) & (data <= 0x9E))
+def quotations(texts: K.Texts, marks: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Which of the words ``found`` are quoted or reported; ``marks``: where quotation marks stand."""
     so_far = np.concatenate([[0], np.cumsum(marks)])
     owner = np.searchsorted(texts.first, found, side="right") - 1
     low, high = texts.first[owner], texts.first[owner + 1] - 1
@@ -230,15 +273,20 @@ def quotations(texts: K.Texts, data: np.ndarray, found: np.ndarray) -> np.ndarra
     return quoted
 
 
-def hits(model: Model, data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, bool, bool]]:
-    """(text, term, misspelled, quoted) of each hit of a slice."""
-    texts = K.Texts(FOLD[data], bounds)
+def hits(model: Model, data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, bool, bool, bool]]:
+    """(text, term, misspelled, quoted, many) of each hit of a slice; many: different words of the text match the term."""
+    data, bounds, marks = folded(data, bounds)
+    texts = K.Texts(data, bounds)
     found, terms, edits = model.automaton.match(texts)
     if not len(found):
         return
     owner = np.searchsorted(texts.first, found, side="right") - 1
-    for k, quoted in enumerate(quotations(texts, data, found)):
-        yield int(owner[k]), int(terms[k]), bool(edits[k] > 0), bool(quoted)
+    words = texts.word_hashes(_WORD, _CODES)[found]
+    place = owner * len(model.terms) + terms
+    kinds = np.unique(np.stack([place.astype(np.uint64), words], axis=1), axis=0)[:, 0]
+    many = np.isin(place, kinds[1:][kinds[1:] == kinds[:-1]].astype(np.int64))
+    for k, quoted in enumerate(quotations(texts, marks, found)):
+        yield int(owner[k]), int(terms[k]), bool(edits[k] > 0), bool(quoted), bool(many[k])
 
 
 def score_slice(model: Model, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -269,22 +317,32 @@ def free_words(batch: pa.RecordBatch) -> Iterator[tuple[int, dict[str, int]]]:
     """``toxic`` and the words that are not quoted of each text, with the least hash of their neighbours."""
     marks = batch.column("toxic").to_pylist()
     for a, b, data, bounds in K.slices(batch.column("text")):
-        texts = K.Texts(FOLD[data], bounds)
-        quoted, raw = quotations(texts, data, np.arange(len(texts.start))), texts.data.tobytes()
+        data, bounds, at_marks = folded(data, bounds)
+        texts = K.Texts(data, bounds)
+        quoted, raw = quotations(texts, at_marks, np.arange(len(texts.start))), texts.data.tobytes()
         hashes = np.concatenate([np.zeros(1, np.uint64), texts.word_hashes(_WORD, _CODES), np.zeros(1, np.uint64)])
         around = K.mix(K.mix(hashes[:-2]) + hashes[2:]).view(np.int64)
         for k in range(b - a):
             at = np.flatnonzero(~quoted[texts.first[k] : texts.first[k + 1]]) + texts.first[k]
             own: dict[str, int] = {}
             for s, e, near in zip(texts.start[at].tolist(), texts.end[at].tolist(), around[at].tolist()):
-                if 3 <= len(x := raw[s:e].decode(errors="replace")) <= 40:
-                    own[x] = min(own.get(x, near), near)
+                x = raw[s:e].decode("latin-1")
+                own[x] = min(own.get(x, near), near)
             yield marks[a + k], own
 
 
-def begun_by(word: str) -> list[str]:
-    """The terms that a word has: itself and its beginnings."""
-    return [word, *(f"{word[:n]}*" for n in STEMS if len(word) > n)]
+def terms_of(words: dict[str, int]) -> dict[str, int]:
+    """The terms that a text has, with their least hash: its words, their beginnings (``*``), and those of several words (``**``)."""
+    out = dict(words)
+    for word, near in words.items():
+        for n in STEMS:
+            if len(word) > n:
+                stem = f"{word[:n]}*"
+                if stem in out:
+                    out[f"{stem}*"] = out[stem] = min(out[stem], near)
+                else:
+                    out[stem] = near
+    return out
 
 
 def origins(train: DataFrame, terms: set[str]) -> DataFrame:
@@ -295,19 +353,15 @@ def origins(train: DataFrame, terms: set[str]) -> DataFrame:
         for batch in batches:
             seen = set()
             for toxic, words in free_words(batch):
-                least: dict[str, int] = {}
-                for word, near in words.items() if toxic else ():
-                    for term in begun_by(word):
-                        if term in shared.value:
-                            least[term] = min(least.get(term, near), near)
-                seen.update(least.items())
+                if toxic:
+                    seen.update(x for x in terms_of(words).items() if x[0] in shared.value)
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in seen], pa.string()), pa.array([x[1] for x in seen], pa.int64())], names=["term", "near"])
 
     return train.mapInArrow(run, "term string, near long").distinct().groupBy("term").agg(F.count("*").alias("origins"))
 
 
 def learn_terms(train: DataFrame) -> list[str]:
-    """Words, and beginnings of words with ``*``, that mark toxic documents."""
+    """Words, and beginnings of words with ``*``, that mark toxic documents, the latter perhaps only where several words have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(counts: dict[str, list[int]]) -> pa.RecordBatch:
@@ -316,7 +370,7 @@ def learn_terms(train: DataFrame) -> list[str]:
         counts: dict[str, list[int]] = {}
         for batch in batches:
             for toxic, words in free_words(batch):
-                for term in {x for w in words for x in begun_by(w)}:
+                for term in terms_of(words):
                     counts.setdefault(term, [0, 0])[toxic] += 1
                 if len(counts) > 300_000:
                     yield out(counts)
@@ -344,7 +398,7 @@ def learn_terms(train: DataFrame) -> list[str]:
         stem = term.rstrip("*")
         if any(stem[:n] in stems for n in STEMS) or term.endswith("*") and stem in begun:
             continue
-        chosen.append(term)
+        chosen.append(stem + "*" * term.endswith("*"))
         begun.update(stem[:n] for n in STEMS)
         if term.endswith("*"):
             stems.add(stem)
@@ -357,7 +411,7 @@ def train_model(docs: DataFrame, labels: DataFrame) -> Model:
     model = Model(terms, intersect(terms))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[int, bool, bool, int], int] = {}
+        counts: dict[tuple[int, bool, bool, bool, int], int] = {}
         for batch in batches:
             marks = batch.column("toxic").to_pylist()
             for a, b, data, bounds in K.slices(batch.column("text")):
@@ -365,30 +419,39 @@ def train_model(docs: DataFrame, labels: DataFrame) -> Model:
                 for text, *kind in hits(model, data, bounds):
                     per[text].add(tuple(kind))
                 for k, kinds in per.items():
-                    for kind in kinds or {(-1, False, False)}:
+                    for kind in kinds or {(-1, False, False, False)}:
                         key = (*kind, marks[a + k])
                         counts[key] = counts.get(key, 0) + 1
-        columns = list(zip(*((*k, n) for k, n in counts.items()))) or [[]] * 5
-        kinds = (pa.int32(), pa.bool_(), pa.bool_(), pa.int32(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["term", "misspelled", "quoted", "toxic", "n"])
-
-    got = train.mapInArrow(run, "term int, misspelled boolean, quoted boolean, toxic int, n long").groupBy("term", "misspelled", "quoted", "toxic").agg(F.sum("n").alias("n")).collect()
-    seen: dict[tuple[int, bool, bool], list[int]] = {}
-    for term, misspelled, quoted, toxic, n in got:
-        seen.setdefault((term, misspelled, quoted), [0, 0])[toxic] += n
-    clean, toxic = seen.pop((-1, False, False), [0, 0])
+        columns = list(zip(*((*k, n) for k, n in counts.items()))) or [[]] * 6
+        kinds = (pa.int32(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int32(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["term", "misspelled", "quoted", "many", "toxic", "n"])
+
+    got = train.mapInArrow(run, "term int, misspelled boolean, quoted boolean, many boolean, toxic int, n long").groupBy("term", "misspelled", "quoted", "many", "toxic").agg(F.sum("n").alias("n")).collect()
+    seen: dict[tuple[int, bool, bool, bool], list[int]] = {}
+    for *kind, toxic, n in got:
+        seen.setdefault(tuple(kind), [0, 0])[toxic] += n
+    clean, toxic = seen.pop((-1, False, False, False), [0, 0])
     model.base = toxic / (clean + toxic) if clean + toxic else 0.0
-    for misspelled in (False, True):
-        alike = [x for (_, m, q), x in seen.items() if m == misspelled and not q]
-        prior = (sum(x[1] for x in alike) + 1) / (sum(map(sum, alike)) + 2)
-        prior = max(prior, UNSEEN_MISSPELLED) if misspelled else prior
-        for term in range(len(terms)):
-            c, t = seen.get((term, misspelled, False), (0, 0))
-            plain = model.weights[term, misspelled, False] = (t + prior) / (c + t + 1)
+    # Where the misspellings of a family of terms are other words, unseen ones are likely to be, too.
+    families: dict[tuple[str, bool], list[int]] = {}
+    for (term, misspelled, quoted, many), (c, t) in seen.items():
+        if misspelled and not quoted:
+            own = families.setdefault((terms[term][:FAMILY], many), [0, 0])
+            own[0], own[1] = own[0] + c, own[1] + t
+    for many in (False, True):
+        alike = [x for (_, m, q, several), x in seen.items() if not m and not q and several == many]
+        share = (sum(x[1] for x in alike) + 1) / (sum(map(sum, alike)) + 2)
+        for term, misspelled in product(range(len(terms)), (False, True)):
+            prior = share
+            if misspelled:
+                clean_kin, toxic_kin = families.get((terms[term][:FAMILY], many), (0, 0))
+                prior = (toxic_kin + UNSEEN_MISSPELLED) / (clean_kin + toxic_kin + 1)
+            c, t = seen.get((term, misspelled, False, many), (0, 0))
+            plain = model.weights[term, misspelled, False, many] = (t + prior) / (c + t + 1)
             if misspelled and plain < UNSEEN_MISSPELLED:  # mostly other words
-                plain = model.weights[term, misspelled, False] = plain * plain
-            c, t = seen.get((term, misspelled, True), (0, 0))
-            model.weights[term, misspelled, True] = (t + 0.2 * plain) / (c + t + 1)
+                plain = model.weights[term, misspelled, False, many] = plain * plain
+            c, t = seen.get((term, misspelled, True, many), (0, 0))
+            model.weights[term, misspelled, True, many] = (t + 0.2 * plain) / (c + t + 1)
     return model
 
 
