@@ -99,7 +99,7 @@ def test_mixing(spark):
 
 @pytest.mark.parametrize("blocks", [1, 2, 7, 64, 100])
 def test_permutation(spark, blocks):
-    x = spark.range(blocks).selectExpr("3 AS sidx", "1 AS pass", f"{blocks} AS blocks", "id AS x").selectExpr(f"{mixing.permuted(mixing.SPARK)} AS y")
+    x = spark.range(blocks).selectExpr(f"{blocks}L AS blocks", "id", f"{mixing.round_keys(chr(39) + 'k' + chr(39))} AS keys").selectExpr(f"{mixing.permuted('id', 'blocks', 'keys')} AS y")
     assert sorted(r["y"] for r in x.collect()) == list(range(blocks))
 
 
@@ -185,12 +185,12 @@ def test_lm_probabilities():
     found = maxent.Counts(int(n.sum()) + 10, len(h) + 1, 10, h, n, np.zeros(16), np.full(16, 3.0))
     assert middle.sum() == n.sum()
     found.prepare()
-    weights, top = (rng.normal(size=x.shape).astype(np.float32) for x in maxent.blank())
+    weights, top = (rng.normal(size=x.shape).astype(np.float32) for x in maxent.blank(14))
     context = [np.array([5]), np.array([77]), np.array([9]), np.array([1])]
     classes = np.exp(maxent.log_softmax(weights, context, found.bias))[0].astype(float)
     total = classes[maxent.END_CLASS]
     for c in range(maxent.TOP_CLASSES):
-        rows = maxent.word_rows(context, np.array([c]))
+        rows = maxent.word_rows(context, np.array([c]), 14)
         total += classes[c] * np.exp(maxent.log_softmax(top, rows, found.top_bias[[c]])).sum()
     rank = np.arange(len(h))
     shares = np.exp(found.share.astype(float))
@@ -200,6 +200,13 @@ def test_lm_probabilities():
     assert not empty_middle and total == pytest.approx(1, abs=1e-4)
 
 
+def test_lm_layout(spark):
+    """Scores do not depend on how the table is cut."""
+    table = odd(spark)
+    a, b = (collected(maxent.lm_scores(t), "doc_id", "n_tokens", "score") for t in (table.coalesce(1), table.repartition(5)))
+    assert a == b
+
+
 def test_lm_lookup():
     h = np.random.default_rng(1).integers(0, 2**63, 5000).astype(np.uint64)
     h[1:100] = h[0] + np.arange(1, 100).astype(np.uint64)
@@ -262,6 +269,15 @@ def test_automaton(terms, candidates):
     assert dict(zip(hit.tolist(), edits.tolist())) == want
 
 
+def test_misspellings_are_code_points():
+    terms = [t.lower().encode().decode() for t in ("crétin", "connard", "überlegen")]
+    found = toxicity.intersect(terms)
+    raw = " ".join(("cretin", "conñard", "uberlegen", "CRÉTIN", "creten", "überlegen")).encode()
+    data, bounds, _ = toxicity.folded(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    hit, term, edits = found.match(kernel.Texts(data, bounds))
+    assert [(int(h), terms[t], int(e)) for h, t, e in zip(hit, term, edits)] == [(0, "crétin", 1), (1, "connard", 1), (2, "überlegen", 1), (3, "crétin", 0), (5, "überlegen", 0)]
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     docs, labels = [], []
@@ -354,6 +370,30 @@ def test_near_groups(spark):
     assert collected(left, "doc_id") == sorted({(r[0],) for r in groups_of(ROWS) if r[3]}, key=repr)
 
 
+def test_two_texts_under_one_id(spark):
+    """They are documents of their own: neither replaces the other."""
+    rng = random.Random(31)
+    a, b, c = (prose(rng, 60, 5000) for _ in range(3))
+    table = odd(spark, [(1, a, "en", "s", 1), (1, b, "en", "s", 1), (2, b, "en", "s", 1), (3, c, "en", "s", 1), (3, c, "en", "s", 1)])
+    assert sorted(x for (x,) in collected(near_dedup.one_of_each(table), "text")) == sorted([a, b, c])
+
+
+def test_template_with_random_edits(spark, monkeypatch):
+    """Many documents that are nearly similar enough: right groups, and pairs that do not grow with the square."""
+    formed = []
+    real = near_dedup._meeting_places
+    monkeypatch.setattr(near_dedup, "STAR_FIRST", 2)
+    monkeypatch.setattr(near_dedup, "_meeting_places", lambda *a: formed.append(1) or real(*a))
+    rng, rows = random.Random(3), []
+    for k in range(150):
+        own = [f"w{i}" for i in range(102)]
+        for _ in range(2):
+            own[rng.randrange(102)] = f"x{rng.randrange(10**9)}"
+        rows.append((k, " ".join(own), "en", "s", 1))
+    assert collected(near_dedup.near_groups(odd(spark, rows)), "doc_id", "n_shingles", "component_id", "kept") == groups_of(rows)
+    assert formed
+
+
 def test_large_near_group(spark):
     """Many edited copies of one text, most of them linked to it and not to each other."""
     rng = random.Random(6)
@@ -414,10 +454,61 @@ def test_quality_model(spark):
 def test_model_is_a_distribution(spark):
     rng = random.Random(10)
     texts = spark.createDataFrame([(prose(rng, 50),) for _ in range(30)], "text string")
-    p = quality_model.kneser_ney(quality_model.symbol_counts(texts))
+    p = np.concatenate(list(quality_model.kneser_ney(dense(quality_model.symbol_counts(texts)))))
     assert np.allclose(p.reshape(-1, quality_model.SYMBOLS).sum(axis=1), 1, atol=1e-4)
 
 
+def dense(counts):
+    table = np.zeros(quality_model.SYMBOLS**quality_model.ORDER, np.uint32)
+    for gram, n in counts.collect():
+        table[gram] = n
+    return table
+
+
+def plain_kneser_ney(grams):
+    """Interpolated modified Kneser-Ney by its definition, over tuples; returns p(symbol, context)."""
+    levels = {quality_model.ORDER: Counter(grams)}
+    for order in range(quality_model.ORDER - 1, 0, -1):
+        levels[order] = Counter(g[1:] for g in levels[order + 1])
+    cuts = {}
+    for order, counts in levels.items():
+        n = Counter(counts.values())
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
+        cuts[order] = [0.0] + [min(max(k - (k + 1) * y * (n[k + 1] / n[k] if n[k] else 1), 0.0), k - 0.1) for k in (1, 2, 3)]
+
+    def p(symbol, context):
+        order = len(context) + 1
+        below = p(symbol, context[1:]) if context else 1 / quality_model.SYMBOLS
+        after = {g[-1]: c for g, c in levels[order].items() if g[:-1] == context}
+        if not after:
+            return below
+        total = sum(after.values())
+        own = after.get(symbol, 0)
+        return (own - cuts[order][min(own, 3)]) / total + sum(cuts[order][min(c, 3)] for c in after.values()) / total * below
+
+    return p
+
+
+def test_kneser_ney_by_definition(spark):
+    texts = ["the cat sat on the mat", "a cat, a hat; the bat sat", "THE 99 cats!"]
+    codes = np.concatenate([quality_model.grams(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0] for t in texts])
+    tuples = [tuple(int(c) // quality_model.SYMBOLS**k % quality_model.SYMBOLS for k in (3, 2, 1, 0)) for c in codes]
+    model = np.concatenate(list(quality_model.kneser_ney(dense(quality_model.symbol_counts(spark.createDataFrame([(t,) for t in texts], "text string")))))).reshape(-1)
+    plain = plain_kneser_ney(tuples)
+    for c, g in [*zip(codes, tuples), *((int(c) + 1, (*g[:3], g[3] + 1)) for c, g in zip(codes, tuples) if g[3] < 62), (5, (0, 0, 0, 5))]:
+        assert model[c] == pytest.approx(plain(g[3], g[:3]), rel=1e-4)
+
+
+def test_copies_set_no_bound(spark):
+    """A text that holds most of a language's rows does not lose the other documents, nor do languages of two documents."""
+    rng = random.Random(19)
+    same = prose(rng, 80)
+    docs = [(k, same, "en", "s", 1) for k in range(200)] + [(k, prose(rng, 80), "en", "s", 1) for k in range(200, 300)] + [(400, prose(rng, 80), "xx", "s", 1), (401, prose(rng, 60), "xx", "s", 1)]
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(150, 300)], "doc_id long, quality int, toxic int")
+    kept = {r["doc_id"] for r in quality_model.classify(odd(spark, docs), labels).where("kept").collect()}
+    assert kept >= {*range(200), 400, 401} and len(kept) >= 296
+
+
 # Decontamination
 
 def clean(text):
@@ -465,3 +556,39 @@ def test_rows_without_id(spark):
         assert out.count() == len(rows) and out.where("doc_id IS NULL").count() == 2
     assert {None, 4} <= {r["doc_id"] for r in decontamination.find_items(table, bench).collect()}
     assert near_dedup.one_of_each(table).where("doc_id IS NULL").count() == 2
+
+
+def test_table_out_of_sight(spark, tmp_path):
+    """A folder that a task cannot see is an error, a part without rows is none."""
+    from textloom.llm import common
+
+    path = common.stored_at(spark.createDataFrame([(1, 5)], "chunk long, x int"), "part")
+    with pytest.raises(FileNotFoundError):
+        common.read_part(f"file://{tmp_path}/elsewhere", "chunk=1")
+    assert common.read_part(path, "chunk=7") is None and common.read_part(path).num_rows == 1
+    assert common.shared_dir(spark).startswith("file:///")
+
+
+def test_small_source_of_a_mix(spark):
+    """A source of few words meets its target beside a large one."""
+    rows = [(k, "w " * 2000, "en", "big", 1) for k in range(60)] + [(k, "w " * 20, "en", "small", 1) for k in range(100, 105)]
+    got = mixing.mix_sources(odd(spark, rows)).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()
+    for r in got:
+        assert r["taken"] == pytest.approx(r["target"], rel=0.01, abs=2)
+    slots = mixing.draw_slots(mixing.with_blocks(mixing.source_targets(odd(spark, rows).select("source", F.lit(100).cast("long").alias("size")))))
+    shards = slots.groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("place").alias("places")).orderBy("shard").collect()
+    assert all(r["n"] == r["places"] for r in shards) and all(r["n"] == mixing.SHARD_SLOTS for r in shards[:-1])
+
+
+def test_very_long_texts(spark):
+    """Texts beyond a slice of work, of which one repeats another."""
+    rng = random.Random(41)
+    long = "\n".join(prose(rng, 12, 30_000) for _ in range(6000))
+    assert len(long) > kernel.SLICE_BYTES
+    rows = [(1, long, "en", "a", 1), (2, f"{long}\nsome more words at the end", "en", "b", 1), (3, "short text", "en", "a", 1)]
+    table = odd(spark, rows)
+    assert collected(near_dedup.near_groups(table), "doc_id", "n_shingles", "component_id", "kept") == groups_of(rows)
+    assert collected(substring_dedup.dedup_report(table), "doc_id", "n_words", "n_removed")[1][2] == len(long.split())
+    assert collected(line_dedup.dedup_report(table), "doc_id", "n_removed")[1][1] == 6000
+    assert collected(quality_rules.quality_rules(table), "doc_id", "n_words")[0][1] == len(long.split())
+    assert {r["doc_id"]: r["size"] for r in mixing.mix_sources(table).collect()}[1] == len(long.split())

@@ -16,10 +16,12 @@ factors the next token into its class and the token within the class:
 
 Counts are exact over all training tokens: partial counts per task, then one
 aggregation by hash.  Training goes over every training document once, in
-``ROUNDS`` rounds: each task takes gradient steps (AdaGrad) from the common
-weights over its documents of the round, and the changes, weighted by tokens,
-are summed per block of weights by a shuffle.  The weights have a fixed size
-(4 MB), whatever the corpus, and are broadcast.
+``ROUNDS`` rounds: documents are dealt to shards and ordered by hash; each task
+takes gradient steps (AdaGrad) from the common weights over its shard of the
+round, and the changes, weighted by tokens, are summed per block of weights by a
+shuffle.  The rows of weights grow with the training tokens, from 16,384 to
+131,072 (42 MB, a fixed bound on what is broadcast), and so n-grams collide
+beyond some 500 million tokens as they do at 16,384 rows below 67 million.
 
 Scoring works on sparse batches in numpy.  The ``HEAD`` most frequent words (a
 fixed bound, ties at its end left out) are resolved in place; the rarer words of each document join the
@@ -54,10 +56,12 @@ HEAD = 262_144
 CLASSES = TOP_CLASSES + 2 * ENDINGS + 1
 END_CLASS = CLASSES - 1
 END = np.uint64(0xE0D0E0D0E0D0E0D0)
-BITS = 14
-ROWS = 1 << BITS
+#: Rows of weights, as powers of two: the least and the most, and tokens of training for each row.
+LEAST_BITS, MOST_BITS, ROW_TOKENS_BITS = 14, 17, 12
 FEATURES, WORD_FEATURES = 4, 2
 ROUNDS = 3
+#: Tokens that a task learns from in a round, on average.
+SHARD_TOKENS = 1 << 19
 RATE = 0.1
 #: Tokens of a gradient step, and of a scoring batch.
 STEP, BATCH = 65_536, 4096
@@ -141,6 +145,10 @@ class Counts:
         n = min(TOP, len(rank))
         self.top_bias[rank[:n] % TOP_CLASSES, rank[:n] // TOP_CLASSES] = self.share[:n]
 
+    @property
+    def bits(self) -> int:
+        return min(MOST_BITS, max(LEAST_BITS, (self.total >> ROW_TOKENS_BITS).bit_length()))
+
     def rest_room(self) -> np.ndarray:
         return np.maximum(self.rest_once, 1)
 
@@ -153,7 +161,7 @@ class Counts:
         return rank, classes
 
 
-def feature_rows(h: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+def feature_rows(h: np.ndarray, starts: np.ndarray, bits: int) -> list[np.ndarray]:
     """The weight rows of each token's features."""
     starts = starts[:-1]
 
@@ -168,11 +176,11 @@ def feature_rows(h: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
     low = np.uint64(ENDINGS - 1)
     ends = ((one & low) << np.uint64(8)) | ((two & low) << np.uint64(4)) | (three & low)
     mixed = (one + np.uint64(1), K.mix(one + np.uint64(2)) + two, two + np.uint64(3), ends + np.uint64(4))
-    return [(K.mix(x) >> np.uint64(64 - BITS)).astype(np.int64) for x in mixed]
+    return [(K.mix(x) >> np.uint64(64 - bits)).astype(np.int64) for x in mixed]
 
 
-def word_rows(rows: list[np.ndarray], classes: np.ndarray) -> list[np.ndarray]:
-    return [(r * 31 + classes * 7919) % ROWS for r in (rows[0], rows[3])]
+def word_rows(rows: list[np.ndarray], classes: np.ndarray, bits: int) -> list[np.ndarray]:
+    return [(r * 31 + classes * 7919) % (1 << bits) for r in (rows[0], rows[3])]
 
 
 def log_softmax(weights: np.ndarray, rows: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
@@ -190,13 +198,13 @@ def descend(weights: np.ndarray, squares: np.ndarray, rows: list[np.ndarray], bi
     slope = np.exp(log_softmax(weights, rows, bias))
     slope[np.arange(len(target)), target] -= 1.0
     columns = np.ascontiguousarray(slope.T, np.float64)
-    sums = np.stack([sum(np.bincount(r, column, ROWS) for r in rows) for column in columns], axis=1).astype(np.float32)
+    sums = np.stack([sum(np.bincount(r, column, len(weights)) for r in rows) for column in columns], axis=1).astype(np.float32)
     squares += sums * sums
     weights -= RATE * sums / np.sqrt(squares + 1.0)
 
 
-def blank() -> tuple[np.ndarray, np.ndarray]:
-    return np.zeros((ROWS, CLASSES), np.float32), np.zeros((ROWS, TOP_EACH), np.float32)
+def blank(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.zeros((1 << bits, CLASSES), np.float32), np.zeros((1 << bits, TOP_EACH), np.float32)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -247,9 +255,11 @@ def train(docs: DataFrame, counts: Counts) -> tuple[np.ndarray, np.ndarray]:
     """The weights after one pass over the documents, in rounds of distributed gradient steps."""
     context = docs.sparkSession.sparkContext
     shared = context.broadcast(counts)
-    weights = blank()
-    width = ROWS // BLOCKS
-    rows = docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)).alias("round"))
+    weights = blank(counts.bits)
+    width = (1 << counts.bits) // BLOCKS
+    # Dealt and ordered by hash, so that the model does not depend on how the table is cut.
+    shards = max(1, -(-counts.total // (ROUNDS * SHARD_TOKENS)))
+    rows = docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)).alias("round"), F.xxhash64(F.lit(7), "doc_id", "text").alias("place"))
 
     for r in range(ROUNDS):
         current = context.broadcast(weights)
@@ -264,7 +274,7 @@ def train(docs: DataFrame, counts: Counts) -> tuple[np.ndarray, np.ndarray]:
                 for _, _, data, bounds in K.slices(batch.column("text")):
                     h, starts = tokens(data, bounds)
                     rank, classes = known.class_of(h)
-                    features = feature_rows(h, starts)
+                    features = feature_rows(h, starts, known.bits)
                     seen += len(h)
                     for a in range(0, len(h), STEP):
                         part = slice(a, a + STEP)
@@ -273,31 +283,35 @@ def train(docs: DataFrame, counts: Counts) -> tuple[np.ndarray, np.ndarray]:
                         top = np.flatnonzero((rank[part] >= 0) & (rank[part] < TOP))
                         if len(top):
                             c = classes[part][top]
-                            descend(v, v2, word_rows([f[top] for f in own], c), known.top_bias[c], rank[part][top] // TOP_CLASSES)
+                            descend(v, v2, word_rows([f[top] for f in own], c, known.bits), known.top_bias[c], rank[part][top] // TOP_CLASSES)
             if not seen:
                 return
             change = [((new - old) * seen).astype(np.float32) for new, old in zip((w, v), current.value)]
             packed = [zstandard.compress(b"".join(x[k * width : (k + 1) * width].tobytes() for x in change), 1) for k in range(BLOCKS)]
-            group = TaskContext.get().partitionId() % GROUPS
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(BLOCKS)), pa.array(np.full(BLOCKS, group)), pa.array(np.full(BLOCKS, seen)), pa.array(packed, pa.binary())], names=["block", "group", "seen", "change"])
+            shard = TaskContext.get().partitionId()
+            numbers = (np.arange(BLOCKS), np.full(BLOCKS, shard % GROUPS), np.full(BLOCKS, shard), np.full(BLOCKS, seen))
+            yield pa.RecordBatch.from_arrays([*map(pa.array, numbers), pa.array(packed, pa.binary())], names=["block", "group", "shard", "seen", "change"])
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums: dict[int, list] = {}
+            sums: dict[tuple[int, int], list] = {}
             for batch in batches:
-                for block, seen, change in zip(*(batch.column(c).to_pylist() for c in ("block", "seen", "change"))):
+                for block, group, seen, change in zip(*(batch.column(c).to_pylist() for c in ("block", "group", "seen", "change"))):
                     x = np.frombuffer(zstandard.decompress(change), np.float32)
-                    if block in sums:
-                        sums[block][0] += seen
-                        sums[block][1] += x
+                    if (block, group) in sums:
+                        sums[block, group][0] += seen
+                        sums[block, group][1] += x
                     else:
-                        sums[block] = [seen, x.astype(np.float64)]
+                        sums[block, group] = [seen, x.astype(np.float64)]
             packed = [zstandard.compress(x.astype(np.float32).tobytes(), 1) for _, x in sums.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([n for n, _ in sums.values()], pa.int64()), pa.array(packed, pa.binary())], names=["block", "seen", "change"])
-
-        changes = rows.where(F.col("round") == r).mapInArrow(run, "block long, group long, seen long, change binary")
-        # Two levels of sums, so that no task reads the changes of all others.
-        partial = changes.repartition("block", "group").select("block", "seen", "change").mapInArrow(add, "block long, seen long, change binary")
-        totals = partial.repartition(BLOCKS, "block").mapInArrow(add, "block long, seen long, change binary").collect()
+            numbers = ([b for b, _ in sums], [g for _, g in sums], [n for n, _ in sums.values()])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in numbers), pa.array(packed, pa.binary())], names=["block", "group", "seen", "change"])
+
+        own = rows.where(F.col("round") == r).drop("round").repartition(shards, "place").sortWithinPartitions("place").select("text")
+        changes = own.mapInArrow(run, "block long, group long, shard long, seen long, change binary")
+        # Two levels of sums, so that no task reads the changes of all others; in one order, as sums depend on it.
+        partial = changes.repartition("block", "group").sortWithinPartitions("block", "group", "shard").drop("shard").mapInArrow(add, "block long, group long, seen long, change binary")
+        whole = partial.repartition(BLOCKS, "block").sortWithinPartitions("block", "group").select("block", F.lit(0).cast("long").alias("group"), "seen", "change")
+        totals = whole.mapInArrow(add, "block long, group long, seen long, change binary").select("block", "seen", "change").collect()
         weights = tuple(x.copy() for x in weights)
         for block, seen, change in totals:
             x, at = np.frombuffer(zstandard.decompress(change), np.float32) / np.float32(seen), slice(block * width, (block + 1) * width)
@@ -320,7 +334,7 @@ def score_texts(docs: DataFrame, table: DataFrame, counts: Counts, weights: tupl
             for a, b, data, bounds in K.slices(batch.column("text")):
                 h, starts = tokens(data, bounds)
                 rank, classes = known.class_of(h)
-                features = feature_rows(h, starts)
+                features = feature_rows(h, starts, known.bits)
                 logs = np.zeros(len(h))
                 for at in range(0, len(h), BATCH):
                     part = slice(at, at + BATCH)
@@ -329,7 +343,7 @@ def score_texts(docs: DataFrame, table: DataFrame, counts: Counts, weights: tupl
                     top = np.flatnonzero((rank[part] >= 0) & (rank[part] < TOP))
                     if len(top):
                         c = classes[part][top]
-                        logs[at + top] += np.take_along_axis(log_softmax(v, word_rows([f[top] for f in own], c), known.top_bias[c]), (rank[part][top] // TOP_CLASSES)[:, None], axis=1)[:, 0]
+                        logs[at + top] += np.take_along_axis(log_softmax(v, word_rows([f[top] for f in own], c, known.bits), known.top_bias[c]), (rank[part][top] // TOP_CLASSES)[:, None], axis=1)[:, 0]
                 plain = rank >= TOP
                 logs[plain] += known.share[rank[plain]]
                 base = np.zeros(len(h))
