@@ -237,8 +237,9 @@ def _meeting_places(described: DataFrame, percent: int) -> DataFrame:
     With d shingles of difference to the core, o of them in common, and slack =
     (100 - percent) * own - (100 + percent) * d, two sets are similar enough exactly
     if slack + slack + 2 * (100 + percent) * o >= 0.  So each member has to share at
-    least ``base`` of its differences with any partner, and two members at least as
-    many as the one with more slack needs for its like (``own_need``).  Sets that
+    least ``base`` of its differences with any partner (``best``: the most slack of
+    one), and two members at least as many as the one with more slack needs for its
+    like (``own_need``).  Sets that
     share o items share k of the d - o + k rarest ones of either (prefix filtering), so
     the subsets of k of these are keys; k is the smaller one of two members' levels.
     A subset of the needed size is common among similar members alone.
@@ -247,9 +248,10 @@ def _meeting_places(described: DataFrame, percent: int) -> DataFrame:
     outside = described.select("a", "node", "label", F.explode("diff").alias("s"))
     common = stored(outside.groupBy("a", "s").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where("x != y").select("a", "s", "n"), "near-common", small=True)
     rarest = outside.join(common, ["a", "s"]).groupBy("a", "node").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "s"))), lambda x: x["s"]).alias("items"))
-    best = described.groupBy("a").agg(F.max("slack").alias("best"))
-    needs = described.select("a", "node", "label", "slack", F.size("diff").cast("long").alias("d")).join(rarest, ["a", "node"]).join(best, "a")
-    needs = needs.selectExpr("*", f"greatest(1L, CAST(ceil(-(slack + best) / {both}D) AS BIGINT)) AS base", f"greatest(1L, CAST(ceil(-slack / {both // 2}D) AS BIGINT)) AS own_need")
+    needs = described.select("a", "node", "label", "slack", "best", "widest", F.size("diff").cast("long").alias("d")).join(rarest, ["a", "node"])
+    # As a partner has at least the shared shingles of difference itself, its slack is at most (100 - percent) * widest - (100 + percent) * o.
+    base = f"greatest(1L, CAST(ceil(-(slack + best) / {both}D) AS BIGINT), CAST(ceil(-(slack + {100 - percent} * widest) / {both // 2}D) AS BIGINT))"
+    needs = needs.selectExpr("*", f"{base} AS base").selectExpr("*", f"greatest(base, CAST(ceil(-slack / {both // 2}D) AS BIGINT)) AS own_need")
     width = lambda k: f"least(size(items), size(items) - greatest({k}, base) + {k})"
     allowed = " + ".join(f"CAST(own_need >= {k} AND {width(k)} BETWEEN {k} AND {MOST_ITEMS} AS INT)" for k in range(2, LEVELS + 1))
     levelled = needs.selectExpr("*", f"1 + {allowed} AS level")
@@ -280,8 +282,13 @@ def open_links(shared: DataFrame, centers: DataFrame, labels: DataFrame, texts:
     slack = f"{100 - percent} * own - {100 + percent} * size(diff)"
     described = stored(_differences(members.join(texts, "node").join(cores, "a"), shingle).selectExpr("*", f"{slack} AS slack"), "near-differences", small=True)
 
-    top = described.groupBy("a").agg(F.max(F.struct("slack", "node")).alias("top"))
-    sure = described.join(top, "a").where("slack + top.slack >= 0 AND node != top.node").select(F.col("top.node").alias("a"), F.col("node").alias("b"))
+    # Those within reach of the top, whatever they have in common, are one component with it; the others remain to be linked.
+    top = stored(described.groupBy("a").agg(F.max(F.struct("slack", "node", "label")).alias("top"), F.max("own").alias("widest")), "near-tops", small=True)
+    placed = described.join(top, "a").withColumn("within", F.expr("slack + top.slack >= 0"))
+    sure = placed.where("within AND node != top.node").select(F.col("top.node").alias("a"), F.col("node").alias("b"))
+    beyond = stored(placed.where("NOT within").groupBy("a").agg(F.max("slack").alias("beyond")), "near-beyond", small=True)
+    own_label, best = F.expr("CASE WHEN within THEN top.label ELSE label END"), F.expr("CASE WHEN within THEN beyond ELSE top.slack END")
+    described = stored(placed.join(beyond, "a").select("a", "node", own_label.alias("label"), "own", "diff", "slack", best.alias("best"), "widest"), "near-described", small=True)
 
     def tested(pairs: DataFrame) -> DataFrame:
         of = lambda n: described.select(F.col("a").alias("c"), F.col("node").alias(n), F.col("slack").alias(f"slack_{n}"), F.col("diff").alias(f"diff_{n}"))
