@@ -204,21 +204,29 @@ def _cores(samples: DataFrame, shingle: int) -> DataFrame:
 
 
 def _differences(members: DataFrame, shingle: int) -> DataFrame:
-    """``a, node, label, own, diff``: the size of a member's set, and the shingles that it or its centre's core has alone."""
+    """``a, node, label, own, diff, bits``: the size of a member's set, the shingles that it or its centre's core has alone, and their parities.
+
+    Of 256 numbers that shingles may get, ``bits`` marks those that an odd count of the differences has.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cores, owns, diffs = batch.column("core"), [], []
+            cores, owns, diffs, bits = batch.column("core"), [], [], []
             for i, j, data, bounds in K.slices(batch.column("text")):
                 sets, counts = shingle_sets(data, bounds, shingle)
                 ends = np.concatenate([[0], np.cumsum(counts)])
                 for k in range(i, j):
                     own, core = sets[ends[k - i] : ends[k - i + 1]], np.sort(cores[k].values.to_numpy().view(np.uint64))
                     owns.append(len(own))
-                    diffs.append(np.concatenate([own[~K.in_sorted(own, core)], core[~K.in_sorted(core, own)]]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "node", "label")), pa.array(owns, pa.int64()), pa.array(diffs, pa.list_(pa.int64()))], names=["a", "node", "label", "own", "diff"])
+                    diff = np.concatenate([own[~K.in_sorted(own, core)], core[~K.in_sorted(core, own)]])
+                    diffs.append(diff.view(np.int64))
+                    odd = np.bincount((K.mix(diff) >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+                    bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            names = ["a", "node", "label", "own", "diff", "bits"]
+            lists = (pa.array(x, pa.list_(pa.int64())) for x in (diffs, bits))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:3]), pa.array(owns, pa.int64()), *lists], names=names)
 
-    return members.select("a", "node", "label", "core", "text").mapInArrow(run, "a long, node long, label long, own long, diff array<long>")
+    return members.select("a", "node", "label", "core", "text").mapInArrow(run, "a long, node long, label long, own long, diff array<long>, bits array<long>")
 
 
 def _subsets(items: str, k: int) -> str:
@@ -232,7 +240,7 @@ def _subsets(items: str, k: int) -> str:
 
 
 def _meeting_places(described: DataFrame, percent: int) -> DataFrame:
-    """``a, k, key, node, label, slack, d, level``: keys of which two members that may be similar enough share one.
+    """``a, k, key, node, label, slack, d, bits, level, rest, leads``: keys of which two members that may be similar enough share one.
 
     With d shingles of difference to the core, o of them in common, and slack =
     (100 - percent) * own - (100 + percent) * d, two sets are similar enough exactly
@@ -243,21 +251,27 @@ def _meeting_places(described: DataFrame, percent: int) -> DataFrame:
     share o items share k of the d - o + k rarest ones of either (prefix filtering), so
     the subsets of k of these are keys; k is the smaller one of two members' levels.
     A subset of the needed size is common among similar members alone.
+
+    ``rest``: as many differences as two members can share if this is the rarest key
+    they have in common.  ``leads``: they are enough for a partner of no more slack,
+    as they are at the rarest common key of members similar enough.
     """
     both = 2 * (100 + percent)
     outside = described.select("a", "node", "label", F.explode("diff").alias("s"))
     common = stored(outside.groupBy("a", "s").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where("x != y").select("a", "s", "n"), "near-common", small=True)
     rarest = outside.join(common, ["a", "s"]).groupBy("a", "node").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "s"))), lambda x: x["s"]).alias("items"))
-    needs = described.select("a", "node", "label", "slack", "best", "widest", F.size("diff").cast("long").alias("d")).join(rarest, ["a", "node"])
+    needs = described.select("a", "node", "label", "slack", "best", "widest", "bits", F.size("diff").cast("long").alias("d")).join(rarest, ["a", "node"])
     # As a partner has at least the shared shingles of difference itself, its slack is at most (100 - percent) * widest - (100 + percent) * o.
     base = f"greatest(1L, CAST(ceil(-(slack + best) / {both}D) AS BIGINT), CAST(ceil(-(slack + {100 - percent} * widest) / {both // 2}D) AS BIGINT))"
     needs = needs.selectExpr("*", f"{base} AS base").selectExpr("*", f"greatest(base, CAST(ceil(-slack / {both // 2}D) AS BIGINT)) AS own_need")
     width = lambda k: f"least(size(items), size(items) - greatest({k}, base) + {k})"
     allowed = " + ".join(f"CAST(own_need >= {k} AND {width(k)} BETWEEN {k} AND {MOST_ITEMS} AS INT)" for k in range(2, LEVELS + 1))
     levelled = needs.selectExpr("*", f"1 + {allowed} AS level")
-    keys = ", ".join(f"CASE WHEN level >= {k} AND {width(k)} >= {k} THEN transform({_subsets('p', k)}, h -> named_struct('k', {k}, 'key', h)) ELSE CAST(array() AS array<struct<k: int, key: bigint>>) END".replace("p[", f"p{k}[").replace("size(p)", f"size(p{k})") for k in range(1, LEVELS + 1))
-    prefixes = levelled.selectExpr("*", *(f"array_sort(slice(items, 1, CAST(greatest(0, {width(k)}) AS INT))) AS p{k}" for k in range(1, LEVELS + 1)))
-    return prefixes.selectExpr("a", "node", "label", "slack", "d", "level", f"explode(concat({keys})) AS place").selectExpr("a", "place.k AS k", "place.key AS key", "node", "label", "slack", "d", "level")
+    one = f"transform(slice(items, 1, CAST(greatest(0, {width(1)}) AS INT)), (s, i) -> named_struct('k', 1, 'key', xxhash64(s), 'rest', size(items) - i))"
+    more = (f"CASE WHEN level >= {k} AND {width(k)} >= {k} THEN transform({_subsets(f'p{k}', k)}, h -> named_struct('k', {k}, 'key', h, 'rest', size(items))) ELSE CAST(array() AS array<struct<k: int, key: bigint, rest: int>>) END" for k in range(2, LEVELS + 1))
+    prefixes = levelled.selectExpr("*", *(f"array_sort(slice(items, 1, CAST(greatest(0, {width(k)}) AS INT))) AS p{k}" for k in range(2, LEVELS + 1)))
+    placed = prefixes.selectExpr("a", "node", "label", "slack", "d", "bits", "level", "own_need", f"explode(concat({', '.join([one, *more])})) AS place")
+    return placed.selectExpr("a", "place.k AS k", "place.key AS key", "node", "label", "slack", "d", "bits", "level", "place.rest AS rest", "place.rest >= own_need AS leads")
 
 
 def open_links(shared: DataFrame, centers: DataFrame, labels: DataFrame, texts: DataFrame, links: DataFrame, shingle: int, percent: int) -> DataFrame | None:
@@ -288,7 +302,7 @@ def open_links(shared: DataFrame, centers: DataFrame, labels: DataFrame, texts:
     sure = placed.where("within AND node != top.node").select(F.col("top.node").alias("a"), F.col("node").alias("b"))
     beyond = stored(placed.where("NOT within").groupBy("a").agg(F.max("slack").alias("beyond")), "near-beyond", small=True)
     own_label, best = F.expr("CASE WHEN within THEN top.label ELSE label END"), F.expr("CASE WHEN within THEN beyond ELSE top.slack END")
-    described = stored(placed.join(beyond, "a").select("a", "node", own_label.alias("label"), "own", "diff", "slack", best.alias("best"), "widest"), "near-described", small=True)
+    described = stored(placed.join(beyond, "a").select("a", "node", own_label.alias("label"), "own", "diff", "bits", "slack", best.alias("best"), "widest"), "near-described", small=True)
 
     def tested(pairs: DataFrame) -> DataFrame:
         of = lambda n: described.select(F.col("a").alias("c"), F.col("node").alias(n), F.col("slack").alias(f"slack_{n}"), F.col("diff").alias(f"diff_{n}"))
@@ -297,8 +311,8 @@ def open_links(shared: DataFrame, centers: DataFrame, labels: DataFrame, texts:
 
     def live(rows: DataFrame) -> DataFrame:
         """The keys at which pairs have to be formed, with how many members and the one with most slack."""
-        groups = rows.groupBy("a", "k", "key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max(F.col("level") == F.col("k")).alias("home"), F.count("*").alias("n"), F.max(F.struct("slack", "node")).alias("top"))
-        return stored(groups.where("x != y AND home").select("a", "k", "key", "n", F.col("top.node").alias("top")), "near-keys", small=True)
+        groups = rows.groupBy("a", "k", "key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max(F.col("level") == F.col("k")).alias("home"), F.max("leads").alias("led"), F.count("*").alias("n"), F.max(F.struct("slack", "node")).alias("top"))
+        return stored(groups.where("x != y AND home AND led").select("a", "k", "key", "n", F.col("top.node").alias("top")), "near-keys", small=True)
 
     keyed = stored(_meeting_places(described, percent), "near-places", small=True)
     keys = live(keyed)
@@ -311,9 +325,13 @@ def open_links(shared: DataFrame, centers: DataFrame, labels: DataFrame, texts:
         keyed = keyed.drop("label").join(now, "node", "left").withColumn("label", F.coalesce("label", "node"))
         keys = live(keyed)
     at = keyed.join(keys.select("a", "k", "key"), ["a", "k", "key"])
-    side = lambda n: at.select(F.col("a").alias("c"), "k", "key", F.col("node").alias(n), *(F.col(x).alias(f"{x}_{n}") for x in ("label", "slack", "d", "level")))
-    may = f"a < b AND label_a != label_b AND (level_a = k OR level_b = k) AND slack_a + slack_b + {2 * (100 + percent)} * least(d_a, d_b) >= 0"
-    found.append(tested(side("a").join(side("b"), ["c", "k", "key"]).where(may).select("c", "a", "b")))
+    side = lambda rows, n: rows.select(F.col("a").alias("c"), "k", "key", F.col("node").alias(n), *(F.col(x).alias(f"{x}_{n}") for x in ("label", "slack", "d", "bits", "level", "rest")))
+    # What one of them has alone is at least as much as their parities differ.
+    apart = " + ".join(f"bit_count(bits_a[{x}] ^ bits_b[{x}])" for x in range(4))
+    may = f"""(slack_a > slack_b OR slack_a = slack_b AND a < b) AND label_a != label_b AND (level_a = k OR level_b = k)
+        AND slack_a + slack_b + {2 * (100 + percent)} * least(rest_a, rest_b) >= 0 AND slack_a + slack_b + {100 + percent} * (d_a + d_b - ({apart})) >= 0"""
+    close = side(at.where("leads"), "a").join(side(at, "b"), ["c", "k", "key"]).where(may)
+    found.append(tested(close.select("c", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))))
     return stored(found[0].union(found[1]), "near-more", small=True)
 
 
