@@ -267,30 +267,38 @@ def train(docs: DataFrame, counts: Counts) -> tuple[np.ndarray, np.ndarray]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = shared.value
             known.prepare()
-            w, v = (x.copy() for x in current.value)
-            w2, v2 = np.zeros_like(w), np.zeros_like(v)
-            seen = 0
+            def change(shard: int, seen: int, w: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+                moved = [((new - old) * seen).astype(np.float32) for new, old in zip((w, v), current.value)]
+                packed = [zstandard.compress(b"".join(x[k * width : (k + 1) * width].tobytes() for x in moved), 1) for k in range(BLOCKS)]
+                numbers = (np.arange(BLOCKS), np.full(BLOCKS, shard % GROUPS), np.full(BLOCKS, shard), np.full(BLOCKS, seen))
+                return pa.RecordBatch.from_arrays([*map(pa.array, numbers), pa.array(packed, pa.binary())], names=["block", "group", "shard", "seen", "change"])
+
+            shard, seen = None, 0
             for batch in batches:
-                for _, _, data, bounds in K.slices(batch.column("text")):
-                    h, starts = tokens(data, bounds)
-                    rank, classes = known.class_of(h)
-                    features = feature_rows(h, starts, known.bits)
-                    seen += len(h)
-                    for a in range(0, len(h), STEP):
-                        part = slice(a, a + STEP)
-                        own = [f[part] for f in features]
-                        descend(w, w2, own, known.bias, classes[part])
-                        top = np.flatnonzero((rank[part] >= 0) & (rank[part] < TOP))
-                        if len(top):
-                            c = classes[part][top]
-                            descend(v, v2, word_rows([f[top] for f in own], c, known.bits), known.top_bias[c], rank[part][top] // TOP_CLASSES)
-            if not seen:
-                return
-            change = [((new - old) * seen).astype(np.float32) for new, old in zip((w, v), current.value)]
-            packed = [zstandard.compress(b"".join(x[k * width : (k + 1) * width].tobytes() for x in change), 1) for k in range(BLOCKS)]
-            shard = TaskContext.get().partitionId()
-            numbers = (np.arange(BLOCKS), np.full(BLOCKS, shard % GROUPS), np.full(BLOCKS, shard), np.full(BLOCKS, seen))
-            yield pa.RecordBatch.from_arrays([*map(pa.array, numbers), pa.array(packed, pa.binary())], names=["block", "group", "shard", "seen", "change"])
+                numbers = batch.column("shard").to_numpy()
+                cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)] if len(numbers) else []
+                for i, j in zip(cuts, cuts[1:]):
+                    if numbers[i] != shard:
+                        if seen:
+                            yield change(shard, seen, w, v)
+                        shard, seen = int(numbers[i]), 0
+                        w, v = (x.copy() for x in current.value)
+                        w2, v2 = np.zeros_like(w), np.zeros_like(v)
+                    for _, _, data, bounds in K.slices(batch.column("text").slice(i, j - i)):
+                        h, starts = tokens(data, bounds)
+                        rank, classes = known.class_of(h)
+                        features = feature_rows(h, starts, known.bits)
+                        seen += len(h)
+                        for a in range(0, len(h), STEP):
+                            part = slice(a, a + STEP)
+                            own = [f[part] for f in features]
+                            descend(w, w2, own, known.bias, classes[part])
+                            top = np.flatnonzero((rank[part] >= 0) & (rank[part] < TOP))
+                            if len(top):
+                                c = classes[part][top]
+                                descend(v, v2, word_rows([f[top] for f in own], c, known.bits), known.top_bias[c], rank[part][top] // TOP_CLASSES)
+            if seen:
+                yield change(shard, seen, w, v)
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[tuple[int, int], list] = {}
@@ -306,7 +314,9 @@ def train(docs: DataFrame, counts: Counts) -> tuple[np.ndarray, np.ndarray]:
             numbers = ([b for b, _ in sums], [g for _, g in sums], [n for n, _ in sums.values()])
             yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in numbers), pa.array(packed, pa.binary())], names=["block", "group", "seen", "change"])
 
-        own = rows.where(F.col("round") == r).drop("round").repartition(shards, "place").sortWithinPartitions("place").select("text")
+        own = rows.where(F.col("round") == r).drop("round").withColumn("shard", F.pmod("place", F.lit(shards)))
+        # Shards follow the tokens, whatever number of partitions they land in: each one gives a change of the size of the model.
+        own = own.repartition(shards, "shard").sortWithinPartitions("shard", "place").select("text", "shard")
         changes = own.mapInArrow(run, "block long, group long, shard long, seen long, change binary")
         # Two levels of sums, so that no task reads the changes of all others; in one order, as sums depend on it.
         partial = changes.repartition("block", "group").sortWithinPartitions("block", "group", "shard").drop("shard").mapInArrow(add, "block long, group long, seen long, change binary")
