@@ -207,6 +207,25 @@ def test_lm_layout(spark):
     assert a == b
 
 
+def test_lm_changes_follow_the_tokens(spark, monkeypatch):
+    """What training writes is bounded for each token, and sums within a task teach what sums of single shards do."""
+    for total in (10**6, 10**7, 10**8, 10**9, 10**10):
+        bits = maxent.Counts(total, 1, 1, *[np.zeros(1)] * 4).bits
+        shards, tasks = maxent.train_tasks(total, bits)
+        assert shards >= tasks >= min(shards, maxent.LEAST_TASKS)
+        assert tasks * maxent.ROUNDS * sum(x.nbytes for x in maxent.blank(bits)) <= max(4 * total, 110 * 10**6)
+    monkeypatch.setattr(maxent, "SHARD_TOKENS", 200)
+    learnt, found = odd(spark).where(~maxent.held_out()), []
+    counts = maxent.gather_counts(maxent.token_counts(learnt))
+    for least in (1, 3, 100):
+        monkeypatch.setattr(maxent, "LEAST_TASKS", least)
+        found.append(maxent.train(learnt, counts))
+    assert maxent.train_tasks(counts.total, counts.bits)[0] > 3 and abs(found[0][0]).max() > 0.01
+    for weights in found[1:]:
+        for x, y in zip(found[0], weights, strict=True):
+            assert np.allclose(x, y, atol=1e-5)
+
+
 def test_lm_lookup():
     h = np.random.default_rng(1).integers(0, 2**63, 5000).astype(np.uint64)
     h[1:100] = h[0] + np.arange(1, 100).astype(np.uint64)

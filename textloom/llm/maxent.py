@@ -16,10 +16,12 @@ factors the next token into its class and the token within the class:
 
 Counts are exact over all training tokens: partial counts per task, then one
 aggregation by hash.  Training goes over every training document once, in
-``ROUNDS`` rounds: documents are dealt to shards and ordered by hash; each task
-takes gradient steps (AdaGrad) from the common weights over its shard of the
-round, and the changes, weighted by tokens, are summed per block of weights by a
-shuffle.  The rows of weights grow with the training tokens, from 16,384 to
+``ROUNDS`` rounds: documents are dealt to shards and ordered by hash; gradient
+steps (AdaGrad) go from the common weights over each shard of the round, and the
+changes, weighted by tokens, are summed: those of a task's shards where they
+are made, then those of all tasks per block of weights by a shuffle.  A change is
+as large as the model, so the number of tasks follows from what their changes may
+take on disk, ``CHANGE_BYTES`` for each training token.  The rows of weights grow with the training tokens, from 16,384 to
 131,072 (42 MB, a fixed bound on what is broadcast), and so n-grams collide
 beyond some 500 million tokens as they do at 16,384 rows below 67 million.
 
@@ -35,6 +37,7 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -60,8 +63,10 @@ END = np.uint64(0xE0D0E0D0E0D0E0D0)
 LEAST_BITS, MOST_BITS, ROW_TOKENS_BITS = 14, 17, 12
 FEATURES, WORD_FEATURES = 4, 2
 ROUNDS = 3
-#: Tokens that a task learns from in a round, on average.
+#: Tokens of a shard, on average.
 SHARD_TOKENS = 1 << 19
+#: Bytes of changes that all rounds write for each training token, unless fewer than ``LEAST_TASKS`` were left for a round.
+CHANGE_BYTES, LEAST_TASKS = 2, 8
 RATE = 0.1
 #: Tokens of a gradient step, and of a scoring batch.
 STEP, BATCH = 65_536, 4096
@@ -69,8 +74,6 @@ STEP, BATCH = 65_536, 4096
 COUNT_WORDS = 4_000_000
 #: Blocks of weights that are summed apart.
 BLOCKS = 16
-#: Groups of tasks whose changes are summed first.
-GROUPS = 64
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -251,6 +254,13 @@ def gather_counts(table: DataFrame) -> Counts:
     return found
 
 
+def train_tasks(total: int, bits: int) -> tuple[int, int]:
+    """Shards of a round, and tasks that share them; each task writes one change of the size of the model."""
+    shards = max(1, -(-total // (ROUNDS * SHARD_TOKENS)))
+    model = sum(x.nbytes for x in blank(bits))
+    return shards, min(shards, max(LEAST_TASKS, CHANGE_BYTES * total // (ROUNDS * model)))
+
+
 def train(docs: DataFrame, counts: Counts) -> tuple[np.ndarray, np.ndarray]:
     """The weights after one pass over the documents, in rounds of distributed gradient steps."""
     context = docs.sparkSession.sparkContext
@@ -258,7 +268,8 @@ def train(docs: DataFrame, counts: Counts) -> tuple[np.ndarray, np.ndarray]:
     weights = blank(counts.bits)
     width = (1 << counts.bits) // BLOCKS
     # Dealt and ordered by hash, so that the model does not depend on how the table is cut.
-    shards = max(1, -(-counts.total // (ROUNDS * SHARD_TOKENS)))
+    shards, tasks = train_tasks(counts.total, counts.bits)
+    groups = math.isqrt(tasks - 1) + 1
     rows = docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)).alias("round"), F.xxhash64(F.lit(7), "doc_id", "text").alias("place"))
 
     for r in range(ROUNDS):
@@ -267,23 +278,32 @@ def train(docs: DataFrame, counts: Counts) -> tuple[np.ndarray, np.ndarray]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = shared.value
             known.prepare()
-            def change(shard: int, seen: int, w: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-                moved = [((new - old) * seen).astype(np.float32) for new, old in zip((w, v), current.value)]
-                packed = [zstandard.compress(b"".join(x[k * width : (k + 1) * width].tobytes() for x in moved), 1) for k in range(BLOCKS)]
-                numbers = (np.arange(BLOCKS), np.full(BLOCKS, shard % GROUPS), np.full(BLOCKS, shard), np.full(BLOCKS, seen))
-                return pa.RecordBatch.from_arrays([*map(pa.array, numbers), pa.array(packed, pa.binary())], names=["block", "group", "shard", "seen", "change"])
 
-            shard, seen = None, 0
+            def change(task: int, seen: int, sums: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+                packed = [zstandard.compress(b"".join(x[k * width : (k + 1) * width].tobytes() for x in sums), 1) for k in range(BLOCKS)]
+                numbers = (np.arange(BLOCKS), np.full(BLOCKS, task % groups), np.full(BLOCKS, task), np.full(BLOCKS, seen))
+                return pa.RecordBatch.from_arrays([*map(pa.array, numbers), pa.array(packed, pa.binary())], names=["block", "group", "task", "seen", "change"])
+
+            def close() -> None:
+                for x, new, old in zip(sums, (w, v), current.value):
+                    x += (new - old) * np.float32(seen)
+
+            shard, seen, task, total = None, 0, None, 0
             for batch in batches:
                 numbers = batch.column("shard").to_numpy()
                 cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)] if len(numbers) else []
                 for i, j in zip(cuts, cuts[1:]):
                     if numbers[i] != shard:
-                        if seen:
-                            yield change(shard, seen, w, v)
+                        if shard is not None:
+                            close()
+                            total += seen
                         shard, seen = int(numbers[i]), 0
                         w, v = (x.copy() for x in current.value)
                         w2, v2 = np.zeros_like(w), np.zeros_like(v)
+                    if shard % tasks != task:
+                        if total:
+                            yield change(task, total, sums)
+                        task, total, sums = shard % tasks, 0, tuple(map(np.zeros_like, current.value))
                     for _, _, data, bounds in K.slices(batch.column("text").slice(i, j - i)):
                         h, starts = tokens(data, bounds)
                         rank, classes = known.class_of(h)
@@ -297,8 +317,9 @@ def train(docs: DataFrame, counts: Counts) -> tuple[np.ndarray, np.ndarray]:
                             if len(top):
                                 c = classes[part][top]
                                 descend(v, v2, word_rows([f[top] for f in own], c, known.bits), known.top_bias[c], rank[part][top] // TOP_CLASSES)
-            if seen:
-                yield change(shard, seen, w, v)
+            if shard is not None:
+                close()
+                yield change(task, total + seen, sums)
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[tuple[int, int], list] = {}
@@ -314,12 +335,12 @@ def train(docs: DataFrame, counts: Counts) -> tuple[np.ndarray, np.ndarray]:
             numbers = ([b for b, _ in sums], [g for _, g in sums], [n for n, _ in sums.values()])
             yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in numbers), pa.array(packed, pa.binary())], names=["block", "group", "seen", "change"])
 
-        own = rows.where(F.col("round") == r).drop("round").withColumn("shard", F.pmod("place", F.lit(shards)))
-        # Shards follow the tokens, whatever number of partitions they land in: each one gives a change of the size of the model.
-        own = own.repartition(shards, "shard").sortWithinPartitions("shard", "place").select("text", "shard")
-        changes = own.mapInArrow(run, "block long, group long, shard long, seen long, change binary")
+        own = rows.where(F.col("round") == r).withColumn("shard", F.pmod("place", F.lit(shards))).withColumn("task", F.pmod("shard", F.lit(tasks)).cast("int"))
+        # One partition for each task by its number, as two that meet by a hash would take twice as long.
+        own = own.repartitionById(tasks, "task").sortWithinPartitions("task", "shard", "place").select("text", "shard")
+        changes = own.mapInArrow(run, "block long, group long, task long, seen long, change binary")
         # Two levels of sums, so that no task reads the changes of all others; in one order, as sums depend on it.
-        partial = changes.repartition("block", "group").sortWithinPartitions("block", "group", "shard").drop("shard").mapInArrow(add, "block long, group long, seen long, change binary")
+        partial = changes.repartition("block", "group").sortWithinPartitions("block", "group", "task").drop("task").mapInArrow(add, "block long, group long, seen long, change binary")
         whole = partial.repartition(BLOCKS, "block").sortWithinPartitions("block", "group").select("block", F.lit(0).cast("long").alias("group"), "seen", "change")
         totals = whole.mapInArrow(add, "block long, group long, seen long, change binary").select("block", "seen", "change").collect()
         weights = tuple(x.copy() for x in weights)
