@@ -518,6 +518,18 @@ def test_kneser_ney_by_definition(spark):
         assert model[c] == pytest.approx(plain(g[3], g[:3]), rel=1e-4)
 
 
+def test_all_trusted_documents_count(spark, monkeypatch):
+    """The model learns from every trusted document, and every held-out one sets the bounds, broadcast or not."""
+    ids = spark.range(90_000).withColumnRenamed("id", "doc_id")
+    docs, labels = ids.selectExpr("doc_id", "concat('text ', doc_id) AS text", "'en' AS lang"), ids.selectExpr("doc_id", "CAST(doc_id % 10 > 0 AS INT) AS quality")
+    for most in (quality_model.BROADCAST_IDS, 0):
+        monkeypatch.setattr(quality_model, "BROADCAST_IDS", most)
+        learnt = quality_model.trusted_texts(docs, labels)
+        held = quality_model.trusted(labels, True)
+        assert learnt.count() + held.count() == 81_000 and held.count() > 16_384
+        assert learnt.join(held, F.expr("text = concat('text ', of)")).count() == 0
+
+
 def test_copies_set_no_bound(spark):
     """A text that holds most of a language's rows does not lose the other documents, nor do languages of two documents."""
     rng = random.Random(19)
