@@ -413,6 +413,30 @@ def test_template_with_random_edits(spark, monkeypatch):
     assert formed
 
 
+def test_labels_at_open_keys_only(spark, monkeypatch):
+    """Once stars are linked, rows at keys that can still give pairs get new labels, each once; all others do not."""
+    made = defaultdict(list)
+    real = near_dedup.stored
+
+    def counted(df, name, small=False):
+        out = real(df, name, small)
+        made[name].append(out)
+        return out
+
+    monkeypatch.setattr(near_dedup, "STAR_FIRST", 2)
+    monkeypatch.setattr(near_dedup, "stored", counted)
+    rng, rows = random.Random(3), []
+    for k in range(150):
+        own = [f"w{i}" for i in range(102)]
+        for _ in range(2):
+            own[rng.randrange(102)] = f"x{rng.randrange(10**9)}"
+        rows.append((k, " ".join(own), "en", "s", 1))
+    assert collected(near_dedup.near_groups(odd(spark, rows)), "doc_id", "n_shingles", "component_id", "kept") == groups_of(rows)
+    before, after = (x.count() for x in made["near-met"])
+    assert after == before == made["near-keys"][0].agg(F.sum("n")).first()[0] < made["near-places"][0].count()
+    assert made["near-named"][0].count() == made["near-buckets"][0].count()
+
+
 def test_large_near_group(spark):
     """Many edited copies of one text, most of them linked to it and not to each other."""
     rng = random.Random(6)

@@ -286,7 +286,7 @@ def open_links(shared: DataFrame, centers: DataFrame, labels: DataFrame, texts:
     and only those that this leaves in different components form pairs.
     Any core is right; a good one, from the majority of a few members, leaves few keys.
     """
-    named = shared.join(labels, "node", "left").select("band", "h", "node", F.coalesce("label", "node").alias("label"))
+    named = stored(shared.join(labels, "node", "left").select("band", "h", "node", F.coalesce("label", "node").alias("label")), "near-named", small=True)
     split = named.groupBy("band", "h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("band", "h")
     members = stored(named.join(split, ["band", "h"]).join(centers.select("band", "h", "a"), ["band", "h"]).select("a", "node", "label").distinct(), "near-open", small=True)
     if members.isEmpty():
@@ -316,21 +316,22 @@ def open_links(shared: DataFrame, centers: DataFrame, labels: DataFrame, texts:
 
     keyed = stored(_meeting_places(described, percent), "near-places", small=True)
     keys = live(keyed)
+    met = stored(keyed.join(keys.select("a", "k", "key", "top"), ["a", "k", "key"]), "near-met", small=True)
     pairs, rows = keys.agg(F.coalesce(F.sum(F.col("n").cast("double") * F.col("n")), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     found = [sure]
     if pairs > STAR_FIRST * rows:
-        star = keyed.join(keys, ["a", "k", "key"]).where("node != top").select(F.col("a").alias("c"), F.least("node", "top").alias("a"), F.greatest("node", "top").alias("b"))
+        star = met.where("node != top").select(F.col("a").alias("c"), F.least("node", "top").alias("a"), F.greatest("node", "top").alias("b"))
         found = [stored(sure.union(tested(star)), "near-stars", small=True)]
         now = components(links.union(found[0]))
-        keyed = keyed.drop("label").join(now, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        keys = live(keyed)
-    at = keyed.join(keys.select("a", "k", "key"), ["a", "k", "key"])
+        # Components only merge, so keys without open pairs stay so: rows at the others alone get new labels, once.
+        met = stored(met.drop("label").join(now, "node", "left").withColumn("label", F.coalesce("label", "node")), "near-met", small=True)
+        met = met.join(live(met).select("a", "k", "key"), ["a", "k", "key"])
     side = lambda rows, n: rows.select(F.col("a").alias("c"), "k", "key", F.col("node").alias(n), *(F.col(x).alias(f"{x}_{n}") for x in ("label", "slack", "d", "bits", "level", "rest")))
     # What one of them has alone is at least as much as their parities differ.
     apart = " + ".join(f"bit_count(bits_a[{x}] ^ bits_b[{x}])" for x in range(4))
     may = f"""(slack_a > slack_b OR slack_a = slack_b AND a < b) AND label_a != label_b AND (level_a = k OR level_b = k)
         AND slack_a + slack_b + {2 * (100 + percent)} * least(rest_a, rest_b) >= 0 AND slack_a + slack_b + {100 + percent} * (d_a + d_b - ({apart})) >= 0"""
-    close = side(at.where("leads"), "a").join(side(at, "b"), ["c", "k", "key"]).where(may)
+    close = side(met.where("leads"), "a").join(side(met, "b"), ["c", "k", "key"]).where(may)
     found.append(tested(close.select("c", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))))
     return stored(found[0].union(found[1]), "near-more", small=True)
 
